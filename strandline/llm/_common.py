@@ -42,16 +42,20 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and a lost
-    executor costs no recomputation. The finished job's shuffle files are released."""
+    executor costs no recomputation. Shuffle files of earlier, finished jobs are released."""
     spark = df.sparkSession
+    release(spark)
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out

@@ -8,10 +8,11 @@ Every byte covered by a string of ``length`` bytes that also starts earlier is r
 2. Only reads whose anchor occurs again can hold a repeated window. Of equal reads (same
    anchor hash and content hash, 128 bits together) the first is kept for step 3, in all others
    every window repeats.
-3. First reads that share their anchor with a different read are compared exactly: dealt by
-   anchor into bounded collections, each gets its multi-string Burrows-Wheeler transform
-   and longest-common-prefix array by column-wise construction: in round j the j-th
-   symbol from the end of every read is inserted, with both arrays read from and
+3. First reads that share their anchor with a different read are dealt by anchor into
+   bounded collections and cut to the part that another read of the anchor shares; of
+   equal parts the first stays. The different parts are compared exactly: a collection gets
+   its multi-string Burrows-Wheeler transform and longest-common-prefix array by
+   column-wise construction. In round j the j-th symbol from the end of every read is inserted, with both arrays read from and
    written to sequential files. Neighbours in suffix order with a common prefix of
    ``length`` are equal windows; all but the earliest repeat.
    Whole long texts aren't inserted in this way: the rounds are as many as the
@@ -70,7 +71,7 @@ def sliding_least(keys: np.ndarray, span: int) -> np.ndarray:
 
 
 def find_reads(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM):
-    """document, start, windows, anchor hash, content hash of every read of a slice.
+    """document, start, windows, anchor hash, content hash, anchor offset of every read of a slice.
     Slices are cut into stretches of at most 4 MB; windows never cross documents."""
     stretch, lap = 4 << 20, length - 1
     parts = []
@@ -97,9 +98,9 @@ def find_reads(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM)
         for j, step in enumerate((0, gram, 2 * gram, 3 * gram, 4 * gram, 5 * gram, 6 * gram, 7 * gram, reach)):
             content = mix(content + np.uint64(j)) + h[lo + np.minimum(step, reach - gram)]
         content = mix(content + (anchor[lo] - lo).astype(np.uint64))
-        parts.append((doc[lo], lo + at - ends[doc[lo]], n, mix(h[anchor[lo]]).view(np.int64), content.view(np.int64)))
+        parts.append((doc[lo], lo + at - ends[doc[lo]], n, mix(h[anchor[lo]]).view(np.int64), content.view(np.int64), anchor[lo] - lo))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -224,9 +225,41 @@ def _plain_windows(reads, doc, start, length):
     return np.array([i for i, _ in got], np.int64), np.array([o for _, o in got], np.int64)
 
 
+def shared_part(reads: list[bytes], f: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each read around its anchor, from lo to hi, that can hold a string of
+    another read: as far as the longest extension to the left, and to the right, that it shares
+    with any read of the anchor. Sorted by what follows the anchor (then by what comes before it,
+    read backwards), the longest extension is shared with a neighbour."""
+    sizes = np.array([len(r) for r in reads])
+    grow = []
+    for side in (0, 1):
+        parts = [r[a:] for r, a in zip(reads, anchor)] if side else [r[:a][::-1] for r, a in zip(reads, anchor)]
+        lengths = np.array([len(x) for x in parts])
+        width = max(8, -(-int(lengths.max(initial=1)) // 8) * 8)
+        table = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(len(parts), width)
+        words = table.view(">u8")
+        order = np.lexsort((lengths, *(words[:, j] for j in range(words.shape[1] - 1, -1, -1)), f))
+        sorted_table, sorted_f, sorted_len = table[order], f[order], lengths[order]
+        common = np.zeros(len(parts) + 1, np.int64)
+        if len(parts) > 1:
+            differs = sorted_table[1:] != sorted_table[:-1]
+            first = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+            first = np.minimum(first, np.minimum(sorted_len[1:], sorted_len[:-1]))
+            common[1:-1] = np.where(sorted_f[1:] == sorted_f[:-1], first, 0)
+        most = np.empty(len(parts), np.int64)
+        most[order] = np.maximum(common[:-1], common[1:])
+        grow.append(most)
+    return anchor - grow[0], np.minimum(anchor + grow[1], sizes)
+
+
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["f", "variants", "doc", "th", "start", "anchor", "bytes"])
+
+
 # --------------------------------------------------------------------------- the operator
 
-TEXT_BITS = (1 << 25) - 1
+TEXT_BITS = (1 << 18) - 1
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -234,14 +267,17 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.crc32(text).bitwiseAND(F.lit(TEXT_BITS)).cast("int").alias("th"), text.alias("text"))
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """Start, number of windows (up to 127) and text check in one long, ordered by start."""
-    return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 25) | th.astype(np.int64)
+def _pack(start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Start, number of windows and the anchor's offset (up to 127 each) and text check in one
+    long, ordered by start."""
+    return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 25) | (anchor.astype(np.int64) << 18) | th.astype(np.int64)
 
 
 def _unpack(column: str):
+    """start, windows, anchor, th"""
     c = F.col(column)
-    return F.shiftright(c, 32).cast("int"), F.shiftright(c, 25).bitwiseAND(F.lit(127)).cast("int"), c.bitwiseAND(F.lit(TEXT_BITS)).cast("int")
+    part = lambda shift, bits: F.shiftright(c, shift).bitwiseAND(F.lit(bits)).cast("int")
+    return F.shiftright(c, 32).cast("int").alias("start"), part(25, 127).alias("windows"), part(18, 127).alias("anchor"), c.bitwiseAND(F.lit(TEXT_BITS)).cast("int").alias("th")
 
 
 def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_reads: int = HOT_READS, collection: int = COLLECTION) -> DataFrame:
@@ -257,9 +293,9 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
             doc, th = (batch.column(c).to_numpy() for c in ("doc", "th"))
             for a, b in byte_slices(column):
                 buf, ends = raw_bytes(column.slice(a, b - a))
-                d, s, n, f, rh = find_reads(buf, ends, length, gram)
+                d, s, n, f, rh, p = find_reads(buf, ends, length, gram)
                 if len(d):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, rh, doc[a + d], _pack(s, n, th[a + d]))], names=["f", "rh", "doc", "pack"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, rh, doc[a + d], _pack(s, n, p, th[a + d]))], names=["f", "rh", "doc", "pack"])
 
     def anchors(batches):
         for batch in batches:
@@ -273,18 +309,18 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
     often = materialize(source.select("text").mapInArrow(anchors, "f long, c int").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f"), "suffix-anchors")
     matched = materialize(source.select("doc", "th", "text").mapInArrow(occurrences, kinds).join(often, "f"), "suffix-reads")
     drop_table(often)
+    del often
 
     firsts = materialize(matched.groupBy("f", "rh").agg(F.min(F.struct("doc", "pack")).alias("first"), F.count("*").alias("c")), "suffix-firsts")
     variants = firsts.groupBy("f").agg(F.count("*").alias("variants")).where("variants > 1")
     # equal reads: all but the first repeat as a whole
     later = matched.join(firsts.where("c > 1").select("f", "rh", "first"), ["f", "rh"]).where("doc <> first.doc or pack >> 32 <> first.pack >> 32")
-    start, windows, th = _unpack("pack")
-    whole = later.select("doc", th.alias("th"), start.alias("start"), windows.alias("windows"))
+    start, windows, _, th = _unpack("pack")
+    whole = later.select("doc", th, start, windows)
 
     # different reads of one anchor: fetch their bytes
-    start, windows, th = _unpack("pack")
-    compare = firsts.join(variants, "f").select("f", "variants", F.col("first.doc").alias("doc"), F.col("first.pack").alias("pack")).select("f", "variants", "doc", start.alias("start"), windows.alias("windows"), th.alias("th"))
-    by_doc = compare.groupBy("doc", "th").agg(F.collect_list(F.struct("f", "variants", "start", "windows")).alias("reads"))
+    compare = firsts.join(variants, "f").select("f", "variants", "first.doc", *_unpack("first.pack"))
+    by_doc = compare.groupBy("doc", "th").agg(F.collect_list(F.struct("f", "variants", "start", "windows", "anchor")).alias("reads"))
 
     def fetch(batches):
         for batch in batches:
@@ -292,38 +328,51 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
             text, reads = batch.column("text"), batch.column("reads")
             doc, th = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
             for i in range(batch.num_rows):
-                data = text[i].as_buffer()
-                view = memoryview(data)
+                data = text[i].as_buffer().to_pybytes()
                 for r in reads[i].as_py():
-                    rows.append((r["f"], r["variants"], doc[i], th[i], r["start"], bytes(view[r["start"] : r["start"] + r["windows"] + length - 1])))
+                    rows.append((r["f"], r["variants"], doc[i], th[i], r["start"], r["anchor"], data[r["start"] : r["start"] + r["windows"] + length - 1]))
                     if len(rows) >= 20_000:
                         yield _read_batch(rows)
                         rows = []
             if rows:
                 yield _read_batch(rows)
 
-    def _read_batch(rows):
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["f", "variants", "doc", "th", "start", "bytes"])
-
-    reads = source.select("doc", "th", "text").join(by_doc, ["doc", "th"]).mapInArrow(fetch, "f long, variants long, doc long, th int, start int, bytes binary")
-    reads = materialize(reads.dropDuplicates(["f", "doc", "th", "start"]), "suffix-compare")
+    reads = source.select("doc", "th", "text").join(by_doc, ["doc", "th"]).select("doc", "th", "text", "reads").mapInArrow(fetch, "f long, variants long, doc long, th int, start int, anchor int, bytes binary")
+    reads = materialize(reads, "suffix-compare")
     volume = reads.where(F.col("variants") <= hot_reads).agg(F.sum(F.length("bytes"))).first()[0] or 0
     collections = max(1, -(-volume // collection))
 
     def transform(table):
         data = table.column("bytes").to_pylist()
-        doc, th, start = (table.column(c).combine_chunks().to_numpy() for c in ("doc", "th", "start"))
-        owner, offset = repeated_windows(data, doc, start.astype(np.int64), length)
-        order = np.lexsort((offset, owner))
-        owner, offset = owner[order], offset[order]
-        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(owner)))
-        o = owner[new]
-        return pa.table([pa.array(doc[o]), pa.array(th[o]), pa.array((start[o] + offset[new]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "th", "start", "windows"])
+        f, doc, th, start, anchor = (table.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("f", "doc", "th", "start", "anchor"))
+        lo, hi = shared_part(data, f, anchor)
+        out = []
+        # equal shared parts: all but the first repeat as a whole, the first stands for them
+        seen: dict[tuple, int] = {}
+        use = np.flatnonzero(hi - lo >= length)
+        for i in use[np.lexsort((start[use] + lo[use], doc[use]))]:
+            key = (f[i], data[i][lo[i] : hi[i]])
+            j = seen.setdefault(key, i)
+            if doc[j] != doc[i] or start[j] + lo[j] != start[i] + lo[i]:
+                out.append((doc[i], th[i], start[i] + lo[i], hi[i] - lo[i] - length + 1))
+        count: dict[int, int] = {}
+        for g, _ in seen:
+            count[g] = count.get(g, 0) + 1
+        left = [(i, part) for (g, part), i in seen.items() if count[g] > 1]
+        if left:
+            at = np.array([i for i, _ in left])
+            owner, offset = repeated_windows([part for _, part in left], doc[at], (start + lo)[at], length)
+            order = np.lexsort((offset, owner))
+            owner, offset = owner[order], offset[order]
+            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
+            n = np.diff(np.append(new, len(owner)))
+            o = at[owner[new]]
+            out += zip(doc[o], th[o], (start + lo)[o] + offset[new], n)
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(np.array(c, np.int64)).cast(t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "th", "start", "windows"])
 
     cool = reads.where(F.col("variants") <= hot_reads).withColumn("part", F.pmod(F.xxhash64("f"), F.lit(collections)))
-    exact = cool.select("part", "doc", "th", "start", "bytes").groupBy("part").applyInArrow(transform, "doc long, th int, start int, windows int")
+    exact = cool.select("part", "f", "doc", "th", "start", "anchor", "bytes").groupBy("part").applyInArrow(transform, "doc long, th int, start int, windows int")
 
     # anchors with more reads than a collection takes: window by window
     hot = reads.where(F.col("variants") > hot_reads).select("doc", "th", F.col("start").alias("at"), "bytes", F.explode(F.expr(f"sequence(1, length(bytes) - {length - 1})")).alias("o"))
