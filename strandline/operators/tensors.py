@@ -67,8 +67,9 @@ def variance_by_dimension(df: DataFrame, row: str = "row_id", **names) -> DataFr
 def leading_dimensions(ranked: DataFrame, share: float, value: str = "variance", dim: str = "dim") -> DataFrame:
     """The fewest dimensions whose cumulative share reaches ``share``."""
     w = Window.orderBy(F.desc(value), dim)  # a row a dimension
-    out = ranked.withColumns({"rank": F.row_number().over(w), "cum": F.sum(value).over(w) / F.sum(value).over(Window.partitionBy())})
-    return out.where(F.coalesce(F.col("cum") - F.col(value) / F.sum(value).over(Window.partitionBy()), F.lit(0.0)) < share)
+    whole = F.sum(value).over(Window.partitionBy())
+    out = ranked.withColumns({"rank": F.row_number().over(w), "before": (F.sum(value).over(w) - F.col(value)) / whole})
+    return out.where(F.col("before") < share).drop("before")
 
 
 def pad_counts(mask: Column | str, flank: int, width: int = 9) -> Column:
