@@ -59,14 +59,75 @@ def _read(folder: str, name: str) -> bytes:
 
 
 class WordEncoder:
-    """Encodes texts whose tokens never span ASCII white space: distinct words are encoded by
-    the tokenizers library once and remembered (at most ``remember`` of them)."""
+    """Encodes texts whose tokens never span ASCII white space, for a tokenizer that lower-cases
+    and marks the last token of a pre-token with ``</w>``.
+
+    Distinct words are encoded by the tokenizers library once and remembered, at most
+    ``remember`` of them. ASCII capitals are lowered first, and stops at the end of a word are
+    encoded apart where a letter or digit stands before them, as the pre-tokenizer cuts there
+    in any case. Words of letters are sent to the library many in a text: each is one
+    pre-token, so the marks tell them apart; where their number doesn't fit, one by one.
+    """
+
+    STOPS = ".,;:!?"
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember, self.known = remember, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        base = len(self.known)
+        self.known.update(zip(words, range(base, base + len(words))))
+        while len(self.known) > len(self.size):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[base : base + len(words)] = sizes
+        self.first[base : base + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def _learn(self, words: list[str], letters: np.ndarray) -> None:
+        single = [w for w, x in zip(words, letters) if not x]
+        plain = [w for w, x in zip(words, letters) if x]
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for at in range(0, len(groups), 64):
+            some = groups[at : at + 64]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) == len(group) and last[-1] == len(ids):
+                    self._add(group, ids, np.diff(np.concatenate(([0], last))))
+                else:
+                    single += group
+        for at in range(0, len(single), 20_000):
+            some = single[at : at + 20_000]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the words among the known ones; new ones are learned."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        names = distinct.to_pylist()
+        rows = np.fromiter((self.known.get(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            letters = pc.match_substring_regex(distinct.take(pa.array(new)), r"^\pL+$").to_numpy(zero_copy_only=False)
+            self._learn([names[i] for i in new], letters)
+            rows[new] = [self.known[names[i]] for i in new]
+        return rows[coded.indices.to_numpy()] if len(coded) else rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the bounds of each text's ids."""
@@ -74,24 +135,26 @@ class WordEncoder:
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        missing = [w for w in distinct if w not in known]
-        if len(known) + len(missing) > self.remember:
-            known.clear()
-            missing = distinct
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32)
-        pieces = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        first = np.cumsum(sizes) - sizes
-        n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        if len(self.known) + 2 * len(distinct) > self.remember:
+            self._forget()
+        special = pc.match_substring(distinct, "<|")
+        lower = pc.if_else(special, distinct, pc.ascii_lower(distinct))
+        core = pc.utf8_rtrim(lower, characters=self.STOPS)
+        cut = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(lower)), pc.match_substring_regex(core, "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"))
+        cut = pc.and_(cut, pc.invert(special))
+        core = pc.if_else(cut, core, lower)
+        rest = np.zeros(len(distinct), np.int64)
+        with_rest = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        if len(with_rest):
+            tails = pc.replace_substring_regex(lower.take(pa.array(with_rest)), r"^.*?([.,;:!?]*)$", r"\1")
+            rest[with_rest] = self._rows(tails)
+        rows = np.stack([self._rows(core), rest], axis=1)[codes].ravel() if len(codes) else np.zeros(0, np.int64)
+        n = self.size[rows]
         edges = np.concatenate(([0], np.cumsum(n)))
-        take = np.repeat(first[codes] - edges[:-1], n) + np.arange(edges[-1]) if len(codes) else np.zeros(0, np.int64)
-        return flat[take], edges[bounds]
+        take = np.repeat(self.first[rows] - edges[:-1], n)
+        take += np.arange(edges[-1])
+        return self.flat[take], edges[2 * bounds]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -195,8 +258,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
         encoder = _encoder(tokenizer)
         with fs.open_output_stream(hidden, compression=None) as out:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    some = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, 4096):
+                    some = batch.slice(at, 4096)
                     ids, bounds = encoder.encode(some.column("text"))
                     n = np.diff(bounds)
                     payload = np.insert(ids, bounds[1:], end_id).astype(width)
