@@ -41,7 +41,8 @@ def block_top(queries: np.ndarray, q_uid: np.ndarray, rows: np.ndarray, uid: np.
     """
     exact = np.float64 if rows.shape[1] * float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2**52 else None
     if exact is None:  # beyond the exact range of doubles: whole numbers throughout
-        scores = np.array([[int(np.dot(q.astype(object), r.astype(object))) for r in rows] for q in queries], object)
+        whole = [[[int(x) for x in v] for v in side] for side in (queries, rows)]
+        scores = [[sum(a * b for a, b in zip(q, r)) for r in whole[1]] for q in whole[0]]
         out = []
         for i in range(len(queries)):
             order = sorted((j for j in range(len(rows)) if uid[j] != q_uid[i]), key=lambda j: -scores[i][j])
@@ -107,7 +108,7 @@ def top_k(vectors: DataFrame, k: int = 5, modulus: int = 50, scale: int = 256, i
     divisible by ``modulus``) with every other row, ties to the smaller id.
 
     Vectors null, empty, or holding null or non-finite components take no part; vectors of
-    different lengths don't meet. Rows with a null id are candidates (last among ties) and no
+    different lengths don't meet. Scores beyond 64 bits order exactly and are returned as the limit. Rows with a null id are candidates (last among ties) and no
     queries. A repeated row is another candidate, and another query with results of its own.
     """
     blocks = pack(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), scale)
@@ -149,7 +150,7 @@ def top_k(vectors: DataFrame, k: int = 5, modulus: int = 50, scale: int = 256, i
                 keep: dict[int, list] = {}
                 for i, j, s in rows:
                     keep.setdefault(i, []).append((-s, ids[j] == NULL_ID, int(ids[j])))
-                rows = [(int(q_blocks[i]), int(q_rows[i]), int(q_ids[i]), v, -s) for i, got in keep.items() for s, _, v in sorted(got)[:k]]
+                rows = [(int(q_blocks[i]), int(q_rows[i]), int(q_ids[i]), v, max(-(2**63), min(2**63 - 1, -s))) for i, got in keep.items() for s, _, v in sorted(got)[:k]]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["q_block", "q_row", "query_id", "vec_id", "score"])
 
