@@ -64,8 +64,10 @@ def delong_components(df: DataFrame, scores: list[str], label: str, row: str = "
     for s in scores:
         t = value_counts(df, s, label)
         n1, n0 = t.agg(F.sum("p"), F.sum("n")).first()
-        place = F.when(F.col("_p") == 1, (F.col("n_below") + F.col("n") / 2) / float(n0 or 1)).otherwise((n1 - F.col("p_below") - F.col("p") / 2) / float(n1 or 1))
-        out = out.join(t.withColumnRenamed("v", "_v"), out[s] == F.col("_v")).withColumn("_p", F.col(label)).withColumn(f"v_{s}", place).drop("_v", "p", "n", "p_below", "n_below", "_p")
+        ahead = (F.col("n_below") + F.col("n") / 2) / float(n0 or 1)
+        behind = (n1 - F.col("p_below") - F.col("p") / 2) / float(n1 or 1)
+        t = t.select(F.col("v").alias("_v"), ahead.alias("_ahead"), behind.alias("_behind"))
+        out = out.join(t, F.col(s) == F.col("_v")).withColumn(f"v_{s}", F.when(F.col(label) == 1, F.col("_ahead")).otherwise(F.col("_behind"))).drop("_v", "_ahead", "_behind")
     return out
 
 
@@ -245,7 +247,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_p_value(t: float, df: float) -> float:
