@@ -76,20 +76,20 @@ def global_position(df: DataFrame, order: list, name: str, out: str = "position"
     dealt = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     table = materialize(dealt, name)
-    counts = sorted(table.groupBy("_part").count().collect())
+    counts = sorted(table.groupBy("__part").count().collect())
     base, rows = 0, []
     for part, n in counts:
         rows.append((part, base))
         base += n
-    bases = spark.createDataFrame(rows or [(0, 0)], "_part int, _base long")
+    bases = spark.createDataFrame(rows or [(0, 0)], "__part int, __base long")
     return (
-        table.join(F.broadcast(bases), "_part")  # one row a partition
-        .withColumn(out, F.col("_base") + F.col("_row"))
-        .drop("_part", "_row", "_base")
+        table.join(F.broadcast(bases), "__part")  # one row a partition
+        .withColumn(out, F.col("__base") + F.col("__row"))
+        .drop("__part", "__row", "__base")
     )
 
 

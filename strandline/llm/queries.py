@@ -87,7 +87,18 @@ _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 _SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')))
      WHEN len(w) > 0 THEN ['short: ' || list_aggregate(w, 'string_agg', ' ')] ELSE [] END"""
 
+_CRC = """tab(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8)"""
+
 ORACLES: dict[str, str] = {
+    "op1_sharding": f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5('shards:' || coalesce(doc_id::VARCHAR, '')) AS h, source IS NULL AS none, coalesce(source, '') AS name,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+r AS (SELECT *, row_number() OVER (PARTITION BY none, name ORDER BY h, doc_id NULLS FIRST, text_crc32) AS rank, count(*) OVER (PARTITION BY none, name) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1)::DOUBLE / (2 * n)::DOUBLE, none, name, h, doc_id NULLS FIRST, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos * 8 // total)::INT AS shard, (pos - ((pos * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM p""",
     "op5_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, k, x, regexp_matches(x, '[^\s]') AS solid
@@ -127,8 +138,9 @@ e AS (SELECT item_id, len(s)::BIGINT AS n_item, unnest(s) AS g FROM i)
 SELECT doc_id, item_id, n_item, count(*)::BIGINT AS n_shared FROM d JOIN e ON d.g = e.g GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item""",
     "op4_suffix_dedup": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-places AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS s FROM h WHERE length(x) >= 200),
-win AS (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(substr(x, 2 * s + 1, 200)) ORDER BY doc_id, s) AS r FROM places),
+blocks AS (SELECT doc_id, b, substr(x, 2 * b + 1, 2 * (500 + 99)) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99, 500)) AS b FROM h WHERE length(x) >= 200)),
+places AS (SELECT doc_id, b, y, unnest(range(0, length(y) // 2 - 99)) AS o FROM blocks),
+win AS (SELECT doc_id, b + o AS s, row_number() OVER (PARTITION BY substr(y, 2 * o + 1, 200) ORDER BY doc_id, b + o) AS r FROM places),
 later AS (SELECT doc_id, s, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS isl, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM win WHERE r > 1),
 marked AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM later),
 spans AS (SELECT doc_id, g, min(s) AS a, max(s) + 100 AS b FROM marked GROUP BY 1, 2),

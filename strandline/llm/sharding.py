@@ -2,8 +2,9 @@
 
 Rows of each source are ranked in a seeded shuffle, the fractional rank
 (rank - 1/2) / rows-of-the-source puts all sources on one scale, and the order by
-fractional rank is cut into shards whose row counts differ by at most one. Each shard thus
-holds each source in its share of the corpus, within two rows.
+fractional rank is cut into shards whose row counts differ by at most one. Up to any cut a
+source with the share p of the corpus has its share of the rows within 1/2 + p * sources / 2,
+so a shard holds the mixture within twice that many rows.
 """
 
 from __future__ import annotations
