@@ -57,7 +57,10 @@ def find_all(seq: Column | str, part: Column | str) -> Column:
     seq, part = c(seq), c(part)
     last = F.length(seq) - F.length(part) + 1
     spots = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(spots, lambda i: F.substring(seq, i, F.length(part)) == part)
+    # symbols as arrays, bound once: a substring at i would walk the text from its start each time
+    both = F.array(F.struct(F.split(seq, "").alias("s"), F.split(part, "").alias("p"), F.length(part).alias("n"), spots.alias("at")))
+    hits = F.transform(both, lambda b: F.filter(b["at"], lambda i: F.slice(b["s"], i, b["n"]) == b["p"]))
+    return F.element_at(hits, 1)
 
 
 def find_closest(seq: Column | str, part: Column | str, target: Column | str) -> Column:

@@ -26,9 +26,9 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
-    rows = proteins(spark, sf_dir).join(labels, "doc_id").withColumn("start", F.explode(F.expr("sequence(1, least(len - 8, 401), 40)")))
+    rows = proteins(spark, sf_dir).join(labels, "doc_id").withColumn("start", F.explode(F.expr("sequence(1, len - 8, 40)")))
     return rows.select(
-        (F.col("doc_id") * 1000 + F.col("start")).alias("row_id"),
+        (F.col("doc_id") * 1000000 + F.col("start")).alias("row_id"),
         "doc_id",
         "lang",
         "source",
@@ -50,9 +50,9 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROT = """prot AS (SELECT doc_id, lang, source, sequence, length(sequence)::INT AS len FROM
   (SELECT doc_id, lang, source, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents) WHERE length(sequence) >= 60)"""
 OBS = PROT + """,
-obs AS (SELECT doc_id * 1000 + start AS row_id, doc_id, lang, source, sequence, len, start, start + 8 AS stop, substr(sequence, start, 9) AS peptide, label, toxic,
+obs AS (SELECT doc_id * 1000000 + start AS row_id, doc_id, lang, source, sequence, len, start, start + 8 AS stop, substr(sequence, start, 9) AS peptide, label, toxic,
     ((doc_id * 7919 + start * 31) % 2000) / 1000.0::DOUBLE AS rank
-  FROM (SELECT p.*, l.quality AS label, l.toxic, unnest(range(1, least(len - 8, 401) + 1, 40))::INT AS start FROM prot p JOIN labels l USING (doc_id)))"""
+  FROM (SELECT p.*, l.quality AS label, l.toxic, unnest(range(1, len - 7, 40))::INT AS start FROM prot p JOIN labels l USING (doc_id)))"""
 WIN = OBS + """,
 win AS (SELECT *, length(raw_n)::INT AS n_real, length(raw_c)::INT AS c_real, lpad(raw_n, 5, 'X') AS n_flank, rpad(raw_c, 5, 'X') AS c_flank,
     lpad(raw_n, 5, 'X') || peptide || rpad(raw_c, 5, 'X') AS context, (start - 1) / len::DOUBLE AS rel_n, (len - stop) / len::DOUBLE AS rel_c

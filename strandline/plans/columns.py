@@ -53,11 +53,12 @@ def p06_p07_spans(spark, sf):
     return o.select("row_id", S.at("sequence", F.col("s"), F.col("s") + 8).alias("span"), S.find_first("sequence", F.substring("peptide", 1, 4)).alias("first_at"))
 
 
-@query(f"""WITH {OBS}, hits AS (SELECT row_id, start, i FROM (SELECT row_id, sequence, len, start, substr(peptide, 1, 3) AS q, unnest(range(1, len - 1)) AS i FROM obs WHERE len < 400) WHERE substr(sequence, i, 3) = q)
-SELECT row_id, count(*)::INT AS n, arg_min(i, abs(i - (start + 7)) * 100000 + i)::INT AS closest FROM hits GROUP BY row_id""")
+@query(f"""WITH {PROT}, c AS (SELECT doc_id, len, unnest(string_split(sequence, '')) AS a, generate_subscripts(string_split(sequence, ''), 1) AS i FROM prot),
+t AS (SELECT doc_id, len, i, a || lead(a, 1, '') OVER w || lead(a, 2, '') OVER w AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)), hits AS (SELECT * FROM t WHERE g = 'THE')
+SELECT p.doc_id, count(i)::INT AS n, arg_min(i, abs(i - p.len // 2) * 10000000 + i)::INT AS closest FROM prot p LEFT JOIN hits h USING (doc_id) GROUP BY p.doc_id""")
 def p08_closest(spark, sf):
-    o = observations(spark, sf).where("len < 400").withColumn("q", F.substring("peptide", 1, 3))
-    return o.select("row_id", F.size(S.find_all("sequence", "q")).alias("n"), S.find_closest("sequence", "q", F.col("start") + 7).alias("closest"))
+    p = proteins(spark, sf)
+    return p.select("doc_id", F.size(S.find_all("sequence", F.lit("THE"))).alias("n"), S.find_closest("sequence", F.lit("THE"), F.expr("len div 2")).cast("int").alias("closest"))
 
 
 @query(f"""WITH {OBS}, o AS (SELECT row_id, CASE WHEN row_id % 7 = 0 THEN NULL ELSE sequence END AS sequence, len, CASE WHEN row_id % 5 = 0 THEN 'QQQQQQQQQ' ELSE peptide END AS peptide,
@@ -113,19 +114,21 @@ def p15_p26_t09_padding(spark, sf):
     return observations(spark, sf).select("row_id", F.array_join(F.transform(mask, lambda m: m.cast("int").cast("string")), "").alias("mask"), pads["n_pad"].alias("n_pad"), pads["c_pad"].alias("c_pad"))
 
 
-_P16 = "list_transform(range(0, 19), lambda j: start - 5 + j)"
+_P16 = """WITH r AS (SELECT l_orderkey AS k, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem GROUP BY 1),
+s AS (SELECT k, r, len(r) AS n, (k % len(r) + 1)::INT AS start FROM r), w AS (SELECT *, list_transform(range(0, 5), lambda j: start - 2 + j) AS idx FROM s)"""
 
 
-@query(f"""WITH {OBS}, s AS (SELECT row_id, len, {_P16} AS idx, list_transform(range(1, len + 1), lambda i: (i * 37 % 101)::DOUBLE) AS r FROM obs WHERE len < 500)
-SELECT row_id, round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND len THEN r[i] ELSE 0 END)), 6) AS zero,
- round(list_sum(list_transform(idx, lambda i: r[greatest(1, least(i, len))])), 6) AS boundary,
- round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND len THEN r[i] WHEN i < 1 THEN 7 ELSE 11 END)), 6) AS bos_eos,
- round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND len THEN r[i] ELSE 3 END)), 6) AS token FROM s""")
+@query(_P16 + """ SELECT k, round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND n THEN r[i] ELSE 0 END)), 6) AS zero,
+ round(list_sum(list_transform(idx, lambda i: r[greatest(1, least(i, n))])), 6) AS boundary,
+ round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND n THEN r[i] WHEN i < 1 THEN 7 ELSE 11 END)), 6) AS bos_eos,
+ round(list_sum(list_transform(idx, lambda i: CASE WHEN i BETWEEN 1 AND n THEN r[i] ELSE 3 END)), 6) AS token FROM w""")
 def p16_t12_window_fills(spark, sf):
-    o = observations(spark, sf).where("len < 500").withColumn("r", F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: (i * 37 % 101).cast("double")))
+    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")))
+    o = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(each, lambda x: x["l_quantity"]).alias("r"))
+    o = o.withColumn("start", (F.col("k") % F.size("r") + 1).cast("int"))
     args = {"zero": {}, "impute_boundary": {}, "impute_bos_eos": {"bos": F.lit(7.0), "eos": F.lit(11.0)}, "pad_token": {"pad": F.lit(3.0)}}
     names = {"zero": "zero", "impute_boundary": "boundary", "impute_bos_eos": "bos_eos", "pad_token": "token"}
-    return o.select("row_id", *[F.round(F.aggregate(tensors.build_window("r", "start", 5, 19, k, **v), F.lit(0.0), lambda a, x: a + x), 6).alias(names[k]) for k, v in args.items()])
+    return o.select("k", *[F.round(F.aggregate(tensors.build_window("r", "start", 2, 5, k, **v), F.lit(0.0), lambda a, x: a + x), 6).alias(names[k]) for k, v in args.items()])
 
 
 @query(f"""WITH {OBS}, w AS (SELECT row_id, lpad(substr(sequence, greatest(1, start - 10), start - greatest(1, start - 10)), 10, 'X') AS n, peptide, rpad(substr(sequence, stop + 1, greatest(0, least(10, len - stop))), 10, 'X') AS c, start, len, stop FROM obs)
@@ -180,10 +183,18 @@ def p30_hash_sample(spark, sf):
     return hash_sample(observations(spark, sf), 50, "row_id", seed="7").select("row_id", "peptide")
 
 
-@query(f"""WITH {PROT}, s AS (SELECT doc_id, sequence, len, unnest(range(1, len + 1)) AS start FROM prot WHERE len < 300), k AS (SELECT *, unnest(range(8, 15)) AS n FROM s)
-SELECT doc_id, start::INT AS start, (start + n - 1)::INT AS stop, substr(sequence, start, n) AS kmer FROM k WHERE start + n - 1 <= len""")
+_ITEMS = "items AS (SELECT item_id, sequence, length(sequence)::INT AS len FROM (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM benchmark))"
+
+
+def items(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence")).withColumn("len", F.length("sequence"))
+
+
+@query(f"""WITH {_ITEMS}, s AS (SELECT item_id, sequence, len, unnest(range(1, len + 1)) AS start FROM items), k AS (SELECT *, unnest(range(8, 15)) AS n FROM s)
+SELECT item_id, start::INT AS start, (start + n - 1)::INT AS stop, substr(sequence, start, n) AS kmer FROM k WHERE start + n - 1 <= len""")
 def p31_kmers(spark, sf):
-    return proteins(spark, sf).where("len < 300").select("doc_id", F.explode(S.kmers("sequence")).alias("k")).select("doc_id", "k.start", "k.stop", "k.kmer")
+    return items(spark, sf).select("item_id", F.explode(S.kmers("sequence")).alias("k")).select("item_id", "k.start", "k.stop", "k.kmer")
 
 
 @query(f"WITH {PROT} SELECT doc_id, start::INT AS start, length(substr(sequence, start + 1, 1000))::INT AS size FROM (SELECT *, unnest(range(0, len, 900)) AS start FROM prot)")
@@ -191,13 +202,13 @@ def p32_chunks(spark, sf):
     return proteins(spark, sf).select("doc_id", "sequence", F.explode(S.chunks("len")).alias("start")).select("doc_id", "start", F.length(F.expr("substring(sequence, start + 1, 1000)")).alias("size"))
 
 
-@query(f"""WITH {PROT}, c AS (SELECT doc_id, len, unnest(range(0, len, 900)) AS start FROM prot WHERE len < 3000),
-p AS (SELECT doc_id, pos, ((pos * 31 + start) % 997) AS v FROM (SELECT doc_id, start, unnest(range(start, least(start + 1000, len))) AS pos FROM c))
-SELECT doc_id, pos::INT AS pos, max(v)::INT AS best, count(*)::BIGINT AS coverage FROM p GROUP BY 1, 2""")
+@query(f"""WITH {_ITEMS}, c AS (SELECT item_id, len, unnest(range(0, len, 90)) AS start FROM items),
+p AS (SELECT item_id, pos, ((pos * 31 + start) % 997) AS v FROM (SELECT item_id, start, unnest(range(start, least(start + 100, len))) AS pos FROM c))
+SELECT item_id, pos::INT AS pos, max(v)::INT AS best, count(*)::BIGINT AS coverage FROM p GROUP BY 1, 2""")
 def p33_s15_stitch(spark, sf):
-    c = proteins(spark, sf).where("len < 3000").select("doc_id", "len", F.explode(S.chunks("len")).alias("start"))
-    p = c.select("doc_id", "start", F.explode(F.expr("sequence(start, least(start + 1000, len) - 1)")).alias("pos"))
-    return p.withColumn("v", (F.col("pos") * 31 + F.col("start")) % 997).groupBy("doc_id", "pos").agg(F.max("v").alias("best"), F.count("*").alias("coverage"))
+    c = items(spark, sf).select("item_id", "len", F.explode(S.chunks("len", 100, 90)).alias("start"))
+    p = c.select("item_id", "start", F.explode(F.expr("sequence(start, least(start + 100, len) - 1)")).alias("pos"))
+    return p.withColumn("v", (F.col("pos") * 31 + F.col("start")) % 997).groupBy("item_id", "pos").agg(F.max("v").alias("best"), F.count("*").alias("coverage"))
 
 
 @query(f"""WITH {OBS}, pos AS (SELECT row_id, start, stop, unnest(range(start, stop + 1)) AS p FROM obs),
@@ -205,8 +216,8 @@ m AS (SELECT row_id, p, CASE WHEN p % 50 = 49 THEN NULL ELSE p - p // 50 END AS
 SELECT row_id, CASE WHEN count(q) = count(*) AND max(q) - min(q) + 1 = count(*) THEN min(q) END::INT AS new_start, CASE WHEN count(q) = count(*) AND max(q) - min(q) + 1 = count(*) THEN max(q) END::INT AS new_stop FROM m GROUP BY row_id""")
 def p34_translate(spark, sf):
     pos = observations(spark, sf).select("row_id", F.explode(F.sequence("start", "stop")).alias("p"))
-    mapped = spark.range(0, 500).select(F.col("id").cast("int").alias("p"), F.expr("CASE WHEN id % 50 = 49 THEN NULL ELSE cast(id - id div 50 as int) END").alias("q"))
-    g = pos.join(F.broadcast(mapped), "p", "left").groupBy("row_id").agg(F.count("q").alias("n"), F.count("*").alias("m"), F.min("q").alias("lo"), F.max("q").alias("hi"))
+    mapped = pos.select(F.col("p").cast("long").alias("id")).distinct().select(F.col("id").cast("int").alias("p"), F.expr("CASE WHEN id % 50 = 49 THEN NULL ELSE cast(id - id div 50 as int) END").alias("q"))
+    g = pos.join(mapped, "p", "left").groupBy("row_id").agg(F.count("q").alias("n"), F.count("*").alias("m"), F.min("q").alias("lo"), F.max("q").alias("hi"))
     ok = (F.col("n") == F.col("m")) & (F.col("hi") - F.col("lo") + 1 == F.col("m"))
     return g.select("row_id", F.when(ok, F.col("lo")).alias("new_start"), F.when(ok, F.col("hi")).alias("new_stop"))
 
@@ -215,7 +226,7 @@ def p34_translate(spark, sf):
 def p35_alignment(spark, sf):
     from strandline.operators.alignment import align
 
-    p = proteins(spark, sf).where("len < 400").select("doc_id", F.substring("sequence", 1, 60).alias("a"), F.substring("sequence", 4, 60).alias("b"))
+    p = items(spark, sf).select("item_id", F.col("sequence").alias("a"), F.regexp_replace("sequence", "(.{9}).", "$1").alias("b"))
     return align(p, "a", "b")
 
 

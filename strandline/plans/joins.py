@@ -135,29 +135,32 @@ def t15_imputed_region_mean(spark, sf):
     return got.select("k", F.round(imputed_mean("values", 3, "left"), 6).alias("left_mean"), F.round(imputed_mean("values", 3, "right"), 6).alias("right_mean"))
 
 
-@query(f"WITH {OBS}, m AS (SELECT doc_id, max(start) AS top FROM obs GROUP BY 1) SELECT DISTINCT doc_id FROM (SELECT o.doc_id, o.row_id % 450 AS spot, m.top FROM obs o LEFT JOIN m USING (doc_id)) WHERE spot > top")
+@query(f"WITH {OBS}, m AS (SELECT doc_id, max(start) AS top FROM obs GROUP BY 1) SELECT DISTINCT doc_id FROM (SELECT o.doc_id, o.row_id % 45000 AS spot, m.top FROM obs o LEFT JOIN m USING (doc_id)) WHERE spot > top")
 def j18_out_of_range(spark, sf):
     o = observations(spark, sf)
     m = o.groupBy("doc_id").agg(F.max("start").alias("top"))
-    return o.select("doc_id", (F.col("row_id") % 450).alias("at")).join(m, "doc_id", "left").where("at > top").select("doc_id").distinct()
+    return o.select("doc_id", (F.col("row_id") % 45000).alias("at")).join(m, "doc_id", "left").where("at > top").select("doc_id").distinct()
 
 
-_PEPS = f"WITH {OBS}, pep AS (SELECT DISTINCT peptide AS s FROM obs WHERE doc_id < 120), pairs AS (SELECT a.s AS a, b.s AS b, hamming(a.s, b.s)::INT AS distance FROM pep a JOIN pep b ON a.s < b.s)"
+_PEPS = f"WITH {OBS}, pep AS (SELECT DISTINCT peptide AS s FROM obs), pairs AS (SELECT a.s AS a, b.s AS b, hamming(a.s, b.s)::INT AS distance FROM pep a JOIN pep b ON a.s < b.s)"
 
 
 @query(_PEPS + " SELECT a, b, distance FROM pairs WHERE distance <= 1")
 def j19_hamming_one(spark, sf):
-    return H.close_pairs(observations(spark, sf).where("doc_id < 120"), "peptide", 9, 1)
+    return H.close_pairs(observations(spark, sf), "peptide", 9, 1)
 
 
-@query(_PEPS + " SELECT a, b, distance FROM pairs WHERE distance <= 4")
+_CTXS = f"WITH {WIN}, ctx AS (SELECT DISTINCT context AS s FROM win), pairs AS (SELECT a.s AS a, b.s AS b, hamming(a.s, b.s)::INT AS distance FROM ctx a JOIN ctx b ON a.s < b.s)"
+
+
+@query(_CTXS + " SELECT a, b, distance FROM pairs WHERE distance <= 4")
 def j20_hamming_four(spark, sf):
-    return H.close_pairs(observations(spark, sf).where("doc_id < 120"), "peptide", 9, 4)
+    return H.close_pairs(windows(spark, sf), "context", 19, 4)
 
 
-@query(_PEPS + " SELECT distance, count(*) AS pairs, (sum(count(*)) OVER (ORDER BY distance))::BIGINT AS pairs_cum FROM pairs WHERE distance <= 5 GROUP BY distance")
+@query(_CTXS + " SELECT distance, count(*) AS pairs, (sum(count(*)) OVER (ORDER BY distance))::BIGINT AS pairs_cum FROM pairs WHERE distance <= 5 GROUP BY distance")
 def j21_pair_census(spark, sf):
-    return H.census(H.close_pairs(observations(spark, sf).where("doc_id < 120"), "peptide", 9, 5))
+    return H.census(H.close_pairs(windows(spark, sf), "context", 19, 5))
 
 
 @query(f"""WITH {WIN}, f AS (SELECT row_id, n_flank, peptide, (doc_id % 6)::INT AS fold FROM win WHERE n_flank <> 'XXXXX')
@@ -167,10 +170,10 @@ def j22_pairs_in_group(spark, sf):
     return H.pairs_in_group(w, "n_flank", "peptide").select("n_flank", "row_a", "row_b", "distance")
 
 
-@query(f"""WITH {OBS}, s AS (SELECT row_id, peptide, doc_id % 2 AS side FROM obs WHERE doc_id < 60)
+@query(f"""WITH {OBS}, s AS (SELECT row_id, peptide, doc_id % 2 AS side FROM obs)
 SELECT a.row_id, round(max((9 - hamming(a.peptide, b.peptide)) / 9.0::DOUBLE), 9) AS best FROM s a JOIN s b ON a.side = 0 AND b.side = 1 GROUP BY a.row_id""")
 def j23_best_similarity(spark, sf):
-    s = observations(spark, sf).where("doc_id < 60")
+    s = observations(spark, sf)
     out = similarity.best_match(s.where("doc_id % 2 = 0").select("row_id", "peptide"), s.where("doc_id % 2 = 1").select("peptide"), "peptide", 9)
     return out.select("row_id", F.round("best", 9).alias("best"))
 

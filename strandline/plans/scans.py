@@ -47,11 +47,11 @@ def s06_ragged_report(spark, sf):
     return got.select(F.col("pos").cast("long").alias("pos"), "peptide", "identity", "n1", "n2", "level")
 
 
-@query("SELECT replace(p_brand, '#', '') AS p_brand, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1")
+@query("SELECT replace(p_brand, '#', '') AS p_brand, count(*) AS n FROM part GROUP BY 1")
 def s07_path_key(spark, sf):
     """A key from the folder's name, as in a tree of one folder a key."""
     path = new_path(spark, "tree")
-    p = table(spark, sf, "part").where("p_size < 10").select(F.concat(F.lit("7_"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("folder"), F.col("p_partkey").cast("string").alias("value"))
+    p = table(spark, sf, "part").select(F.concat(F.lit("7_"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("folder"), F.col("p_partkey").cast("string").alias("value"))
     p.repartition("folder").write.partitionBy("folder").text(path)
     got = readers.with_path_key(spark.read.text(path), r"/folder=[0-9]+_([^/]+)/[^/]+$", "p_brand")
     return got.groupBy("p_brand").agg(F.count("*").alias("n"))
@@ -65,16 +65,16 @@ def s09_fixed_width(spark, sf):
     return readers.parse_atoms(o.select(line.alias("value"))).select("residue_num", "aa", "plddt")
 
 
-@query(f"WITH {OBS}, need AS (SELECT doc_id FROM prot WHERE len % 3 = 0 UNION SELECT -7), have AS (SELECT DISTINCT doc_id FROM obs) SELECT n.doc_id, (SELECT count(*) FROM obs o WHERE o.doc_id = n.doc_id) AS rows FROM need n")
+@query(f"WITH {OBS}, need AS (SELECT doc_id FROM prot WHERE source IN ('src1', 'src2', 'src3') UNION SELECT -7), have AS (SELECT DISTINCT doc_id FROM obs) SELECT n.doc_id, (SELECT count(*) FROM obs o WHERE o.doc_id = n.doc_id) AS rows FROM need n")
 def s10_lookup(spark, sf):
-    need = proteins(spark, sf).where("len % 3 = 0").select("doc_id").union(spark.range(1).select(F.lit(-7).cast("long")))
+    need = proteins(spark, sf).where("source IN ('src1', 'src2', 'src3')").select("doc_id").union(spark.range(1).select(F.lit(-7).cast("long")))
     found, missing = readers.lookup(observations(spark, sf).select("doc_id", "row_id"), need, "doc_id")
     return found.groupBy("doc_id").agg(F.count("*").alias("rows")).union(missing.select("doc_id", F.lit(0).cast("long")))
 
 
-@query("SELECT o_orderkey AS id, 'A' AS chain, 'AGXWU' || 'KL' AS sequence FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS id, 'A' AS chain, 'AGXWU' || 'KL' AS sequence FROM orders")
 def s11_seqres(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     two = F.array(F.lit("SEQRES   2 A    7  LYS LEU"), F.lit("SEQRES   1 A    7  ALA GLY ZZZ TRP SEC"), F.lit("REMARK"))
     return readers.parse_seqres(o.select("id", F.explode(two).alias("value")), "id")
 

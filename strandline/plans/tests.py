@@ -104,14 +104,14 @@ def x10_fisher(spark, sf):
     return t.withColumn("p", F.round(p("a", "b", "c", "d"), 9))
 
 
-_P = "p AS (SELECT p_partkey AS k, p_brand AS b, ((p_partkey * 7919) % 10007 + 1) / 20014.0::DOUBLE AS p FROM part WHERE p_partkey <= 400)"
+_P = "p AS (SELECT p_partkey AS k, p_brand AS b, ((p_partkey * 7919) % 10007 + 1) / 20014.0::DOUBLE AS p FROM part)"
 
 
 @query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p, k) AS r, count(*) OVER (PARTITION BY b) AS m FROM p)
 SELECT k, round(least(1, min(p * m / r) OVER (PARTITION BY b ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS bh, round(least(1, max(p * (m - r + 1)) OVER (PARTITION BY b ORDER BY r ROWS UNBOUNDED PRECEDING)), 9) AS holm,
 CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS code FROM r""")
 def x11_x12_x13_adjusted(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), (((F.col("p_partkey") * 7919) % 10007 + 1) / F.lit(20014.0)).alias("p"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("b"), (((F.col("p_partkey") * 7919) % 10007 + 1) / F.lit(20014.0)).alias("p"))
     bh = X.adjust(p, "p", "bh", ["b"], "k").withColumnRenamed("p_adj", "bh")
     return X.adjust(bh, "p", "holm", ["b"], "k").select("k", F.round("bh", 9).alias("bh"), F.round("p_adj", 9).alias("holm"), T.stars("p").alias("code"))
 
@@ -137,7 +137,7 @@ def x15_delong(spark, sf):
 @query()
 def x16_paired_bootstrap(spark, sf):
     """Poisson bootstrap of the difference of two areas, replicates as rows."""
-    s = scores(spark, sf).where("row_id < 2000").select("row_id", "y", "pa", "pb", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("rep"))
+    s = scores(spark, sf).select("row_id", "y", "pa", "pb", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("rep"))
     s = s.withColumn("w", X.poisson_draw(X.uniform("rep", "row_id"))).where("w > 0")
 
     def area(c):
@@ -250,7 +250,7 @@ def x29_early_stop(spark, sf):
         best = X.early_stop(curve, 20)
         return pd.DataFrame([{"event_type": pdf["event_type"].iloc[0], "best_round": best, "best": curve[best]}])
 
-    return table(spark, sf, "events").where("event_id < 2000").select("event_type", "event_id", "value").groupBy("event_type").applyInPandas(run, "event_type string, best_round int, best double")
+    return table(spark, sf, "events").select("event_type", "event_id", "value").groupBy("event_type").applyInPandas(run, "event_type string, best_round int, best double")
 
 
 @query()
