@@ -7,15 +7,23 @@ pair's union estimates its similarity and drops hopeless pairs; the rest is conf
 full sets. Links are kept as components; copies are never expanded into pairs.
 
 Which lists a class enters. Two sets with Jaccard similarity s share each of the k least
-hashes of their union with chance s, so at 0.75 and k = 32 fewer than ``need`` = 8 shared
-values have chance 4e-10. With the values in order of document frequency, two sketches
+hashes of their union with chance s, so at 0.75 and k = 64 fewer than ``need`` = 27 shared
+values have chance 1e-8. With the values in order of document frequency, two sketches
 that share ``need`` values share one of the first size - need + 1 in both: a class
 enters the lists of its rarest values only, and widespread passages make no long lists.
 For sets of at most k shingles this holds without chance.
 
-Long lists. A list first compares each member with one head (several rounds, a new head in
-each), which is linear in its length and joins a large group of near copies. Only members
-of different components are then compared with each other.
+Long lists. Each list first compares its members with one head, the member with the most
+widespread values, which is linear and joins a group of near copies to its centre; members
+of long lists are compared with a second head, the member nearest to their common base.
+What is left is settled without all pairs. Let the base B of a head's members be the head
+with the values that many members share, I(z) the size of the intersection of z with B, and
+A(z) the part of z outside B. Members z and x that share nothing outside B have an
+intersection of at most min(I(z), I(x)); so a link needs min(I(z), I(x)) >= p / (1 + p) *
+(|z| + |x|), which few pairs outside the head's component meet (found by an equi-join on
+size), or a common value outside B. The latter makes the lists of the next level: the full
+sets A, by head and value, each a tenth of the members at most. Lists of at most ``SMALL``
+members (``NEXT_SMALL`` on later levels) compare members of different components directly.
 """
 
 from __future__ import annotations
@@ -28,9 +36,11 @@ from pyspark.sql import functions as F
 from strandline.llm._common import byte_slices, drop_table, materialize, raw_bytes, set_key, shingle_sets, text_binary
 from strandline.llm.components import connected_components
 
-K = 32
-NEED = 8
-STAR_ROUNDS = 2
+K = 64
+NEED = 27
+SMALL = 24
+NEXT_SMALL = 512
+LEVELS = 12
 
 
 def sketch_table(docs: DataFrame, k: int = K) -> DataFrame:
@@ -54,113 +64,170 @@ def sketch_table(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def _postings(classes: DataFrame, need: int) -> DataFrame:
-    """value, key, n: the shared retained values that a class is listed under."""
+    """value, key, n, weight: the shared retained values that a class is listed under; the
+    weight grows with the frequency of its values."""
     each = classes.select("set_key", "n_shingles", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     frequent = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(frequent, "value")
     # values of one class only come first in the order; what is left of the prefix goes to the rarest shared ones
-    by_class = shared.groupBy("set_key", "n_shingles", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
-    return by_class.where(f"{_sql_room(need)} > 0").select("set_key", "n_shingles", F.explode(F.expr(f"slice(vs, 1, cast({_sql_room(need)} as int))")).alias("p")).select(F.col("p.value").alias("value"), F.col("set_key").alias("key"), F.col("n_shingles").alias("n"))
+    by_class = shared.groupBy("set_key", "n_shingles", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), (F.sum(F.log("df")) / F.first("size")).alias("weight"))
+    room = f"cast(size(vs) + 1 - least({need}, ceil(n_shingles * 0.75)) as int)"
+    return by_class.where(f"{room} > 0").select("set_key", "n_shingles", "weight", F.explode(F.expr(f"slice(vs, 1, {room})")).alias("p")).select(F.col("p.value").alias("value"), F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "weight")
 
 
-def _sql_room(need: int) -> str:
-    return f"size - least({need}, ceil(n_shingles * 0.75)) + 1 - (size - size(vs))"
-
-
-def _estimate(pairs: DataFrame, sketches: DataFrame, k: int, need: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, sketches: DataFrame, k: int, need: int) -> DataFrame:
     """Pairs whose overlap in the sketch of their union allows the similarity."""
-    s = sketches.select(F.col("set_key"), F.col("sketch"))
-    joined = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    joined = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     overlap = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     floor = F.least(F.lit(need), F.ceil(F.least("na", "nb") * 0.75))
     return joined.where(overlap >= floor).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs confirmed on the full shingle sets, made again from the classes' texts."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    wanted = ends.join(classes.select("set_key", "doc_id"), "set_key")
+def _full_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """set_key and hashes: the whole shingle sets of the classes in any list, from their texts."""
+    wanted = postings.select(F.col("key").alias("set_key")).distinct().join(classes.select("set_key", "doc_id"), "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text")).join(wanted, "doc_id").select("set_key", "text")
 
     def sets(batches):
         for batch in batches:
             column, keys = batch.column("text"), batch.column("set_key").to_pylist()
             for a, b in byte_slices(column):
-                part = column.slice(a, b - a)
-                out = [(k, s.tobytes()) for k, s in zip(keys[a:b], shingle_sets(*raw_bytes(part))) if set_key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["set_key", "hashes"])
+                got = {k: s.tobytes() for k, s in zip(keys[a:b], shingle_sets(*raw_bytes(column.slice(a, b - a)))) if set_key(s) == k}
+                yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], names=["set_key", "hashes"])
+
+    # repeated (doc_id, text) rows repeat sets, and so pairs, which is harmless: links are distinct
+    return texts.mapInArrow(sets, "set_key binary, hashes binary")
+
 
-    full = texts.mapInArrow(sets, "set_key binary, hashes binary")
-    full = materialize(full, "near-sets")
-    # the rare repeated (doc_id, set) rows would repeat pairs, which is harmless: links are distinct
-    both = pairs.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b, inter, na, nb, linked and, where ``big``, the values of a outside b; on the full sets."""
+    both = pairs.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "big", "ha", "hb")
 
     def check(batches):
         for batch in batches:
-            ha, hb = batch.column("ha"), batch.column("hb")
-            keep = np.zeros(batch.num_rows, bool)
+            ha, hb, big = batch.column("ha"), batch.column("hb"), batch.column("big").to_pylist()
+            numbers, added = np.zeros((3, batch.num_rows), np.int64), []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.int64) for c in (ha, hb))
-                if len(x) > len(y):
-                    x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            got = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], names=["a", "b"])
+                common = y[at] == x
+                numbers[:, i] = int(common.sum()), len(x), len(y)
+                added.append(x[~common] if big[i] else x[:0])
+            inter, na, nb = numbers
+            linked = 100 * inter >= percent * (na + nb - inter)
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in added]))).astype(np.int32)
+            flat = np.concatenate(added) if added else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x) for x in numbers), pa.array(linked), pa.ListArray.from_arrays(edges, flat)], names=["a", "b", "inter", "na", "nb", "linked", "added"])
 
-    links = materialize(both.mapInArrow(check, "a binary, b binary").distinct(), "near-links")
-    drop_table(pairs)
-    drop_table(full)
-    return links
+    return both.mapInArrow(check, "a binary, b binary, inter long, na long, nb long, linked boolean, added array<long>")
+
+
+def _with_base(compared: DataFrame, small: int) -> DataFrame:
+    """head, key, n, linked, inside and outside for compared members of long lists.
+
+    The base of a head's members is the head with all values outside it that more than ``small``
+    members and a tenth of them hold; ``inside`` counts a member's values in the base,
+    ``outside`` lists the others. The head itself is a member. The bound holds for any base,
+    and a value outside it makes a list of at most a tenth of the members.
+    """
+    own = compared.select(F.col("b").alias("head"), F.col("b").alias("key"), F.col("nb").alias("n"), F.col("nb").alias("inter"), F.lit(True).alias("linked"), F.array().cast("array<long>").alias("added")).dropDuplicates(["head"])
+    member = compared.select(F.col("b").alias("head"), F.col("a").alias("key"), F.col("na").alias("n"), "inter", "linked", "added").dropDuplicates(["head", "key"]).union(own)
+    size = member.groupBy("head").agg(F.count("*").alias("members"))
+    each = member.select("head", "key", F.explode("added").alias("w"))
+    common = each.groupBy("head", "w").agg(F.count("*").alias("c")).join(size, "head").where(F.col("c") > F.greatest(F.lit(small), F.col("members") / 10)).select("head", "w", F.lit(True).alias("hot"))
+    told = each.join(common, ["head", "w"], "left").groupBy("head", "key").agg(F.count("hot").alias("more"), F.collect_list(F.when(F.col("hot").isNull(), F.col("w"))).alias("outside"))
+    out = member.drop("added").join(told, ["head", "key"], "left")
+    return out.select("head", "key", "n", "linked", (F.col("inter") + F.coalesce("more", F.lit(0))).alias("inside"), F.coalesce("outside", F.array().cast("array<long>")).alias("outside"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, need: int = NEED, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _similar_in_size(percent: int) -> str:
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+
+def _components_of(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int, small: int, next_small: int, levels: int) -> DataFrame:
+    """node, component of all linked classes."""
+    sketches = classes.select("set_key", "sketch")
+    lists = materialize(_postings(classes, need), "near-postings")
+    full = materialize(_full_sets(lists, classes, docs), "near-sets")
+    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    labels = None
+    for level in range(levels):
+        cap = small if level == 0 else next_small if level < levels - 1 else 2**62
+        heads = lists.groupBy("value").agg(F.max_by(F.struct("key", "n"), F.struct("weight", "key")).alias("h"), F.count("*").alias("members"))
+        long = not heads.where(F.col("members") > cap).isEmpty()
+        if level == 0 or long:
+            # every member with its list's head; on later levels in long lists only
+            stars = lists.join(heads if level == 0 else heads.where(F.col("members") > cap), "value").where("key <> h.key")
+            stars = stars.select(F.col("key").alias("a"), F.col("h.key").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"), (F.col("members") > cap).alias("big"))
+            stars = materialize(stars.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("big").alias("big")), "near-stars")
+            hopeful = _hopeful(stars.where("not big").where(_similar_in_size(percent)), sketches, k, need).withColumn("big", F.lit(False))
+            seen = materialize(_compared(hopeful.union(stars.where("big").select("a", "b", "big")), full, percent), "near-compared")
+            links = materialize(links.union(seen.where("linked").select("a", "b")), "near-links")
+            if long:
+                # a second head for the members of a long list: the one nearest to their base
+                member = _with_base(seen.join(stars.where("big").select("a", "b"), ["a", "b"]), small)
+                nearest = member.groupBy("head").agg(F.max_by(F.col("key"), F.struct(F.col("inside") - F.size("outside"), "key")).alias("again"))
+                again = member.select("head", "key").join(nearest, "head").where("key <> again").select(F.col("key").alias("a"), F.col("again").alias("b")).distinct().withColumn("big", F.lit(True))
+                seen2 = materialize(_compared(again, full, percent), "near-compared")
+                links = materialize(links.union(seen2.where("linked").select("a", "b")), "near-links")
+                member = materialize(_with_base(seen2, small), "near-members")
+                drop_table(seen2)
+            labels = materialize(connected_components(links), "near-labels")
+            drop_table(seen)
+
+        # short lists: members of different components
+        short = _components_of(lists.join(heads.where(F.col("members") <= cap), "value").select("value", "key", "n"), labels)
+        mixed = short.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+        short = materialize(short.join(mixed, "value"), "near-open")
+        left, right = (short.select("value", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+        cross = left.join(right, "value").where("a < b and ca <> cb").where(_similar_in_size(percent)).select("a", "b", "na", "nb").distinct()
+        pairs = _hopeful(cross, sketches, k, need)
+        if not long:
+            more = _compared(pairs.withColumn("big", F.lit(False)), full, percent)
+            links = materialize(links.union(more.where("linked").select("a", "b")), "near-links")
+            break
+
+        # long lists: pairs that may meet within the base, by the size of the smaller partner
+        out = member.where("not linked").withColumn("least_n", F.expr(f"cast(ceil(n * {percent} / 100D) as int)")).withColumn("most_n", F.expr(f"cast((inside * {100 + percent} div {percent}) - n as int)"))
+        out = _components_of(out, labels).where("most_n >= least_n").select("head", F.col("key").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.explode(F.sequence("least_n", "most_n")).alias("n"))
+        inner = _components_of(member, labels).select("head", F.col("key").alias("b"), F.col("n").cast("int").alias("n"), F.col("inside").alias("i2"), F.col("component").alias("c2"))
+        within = out.join(inner, ["head", "n"]).where(f"a <> b and c1 <> c2 and i2 * {100 + percent} >= {percent} * (n1 + n)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _compared(pairs.union(within).distinct().withColumn("big", F.lit(False)), full, percent)
+        links = materialize(links.union(more.where("linked").select("a", "b")), "near-links")
+
+        # and pairs that share a value outside the base: lists of the next level
+        outside = _components_of(member, labels).select("key", "n", F.col("inside").cast("double").alias("weight"), F.explode("outside").alias("w"), "head", "component").select(F.xxhash64("head", "w").alias("value"), "key", "n", "weight", "component")
+        mixed = outside.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
+        lists = materialize(outside.join(mixed, "value").select("value", "key", "n", "weight"), "near-lists")
+        for table in (stars, short, member):
+            drop_table(table)
+    return connected_components(links)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, need: int = NEED, small: int = SMALL, next_small: int = NEXT_SMALL, levels: int = LEVELS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest doc_id reachable. Null, empty and word-less texts have no
     shingles and are their own component. Null ids join components through identical sets only
     and are never kept where the component has an id (component_id is null otherwise).
-    Repeated rows give repeated results. Other columns are ignored.
+    Repeated rows give repeated results. Other columns are ignored. ``need`` suits 75 per cent.
     """
-    spark = docs.sparkSession
     table = materialize(sketch_table(docs, k), "near-sketch")
     classes = materialize(
         table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).where("doc_id is not null"),
         "near-classes",
     )
-    postings = materialize(_postings(classes, need), "near-postings")
-    similar_size = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels = None
-    for salt in range(star_rounds):
-        members = postings if labels is None else _open_lists(postings, labels)
-        heads = members.groupBy("value").agg(F.min_by(F.struct("key", "n"), F.xxhash64(F.lit(salt), "value", "key")).alias("h"))
-        stars = members.join(heads, "value").where("key <> h.key")
-        pairs = stars.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b"), F.when(F.col("key") < F.col("h.key"), F.col("n")).otherwise(F.col("h.n")).alias("na"), F.when(F.col("key") < F.col("h.key"), F.col("h.n")).otherwise(F.col("n")).alias("nb"))
-        pairs = _estimate(pairs.where(similar_size).distinct(), classes, k, need)
-        links = materialize(links.union(_verified(pairs, classes, docs, percent)), "near-links")
-        labels = materialize(connected_components(links), "near-labels")
-    # what is left: members of one list in different components
-    members = _open_lists(postings, labels)
-    left, right = (members.select("value", F.col("key").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-    cross = left.join(right, "value").where("ka < kb and ca <> cb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb").where(similar_size).distinct()
-    more = _verified(_estimate(cross, classes, k, need), classes, docs, percent)
-    labels = connected_components(links.union(more))
+    labels = _links(docs, classes, percent, k, need, small, next_small, levels)
     of_class = classes.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(smallest, "component").select("set_key", "component_id")
     out = table.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
-
-
-def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components, with their component."""
-    labelled = postings.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
-    return labelled.join(mixed, "value")
