@@ -36,7 +36,8 @@ def two_sample(df: DataFrame, value: str, group: str, by: list[str] | None = Non
     t = value_counts(df, value, group, by)
     n1, n0 = (F.sum(x).over(Window.partitionBy(*by)) for x in "pn")
     t = t.withColumns({"n1": n1, "n0": n0})
-    gap = F.abs((F.col("p_below") + F.col("p")) / F.col("n1") - (F.col("n_below") + F.col("n")) / F.col("n0"))
+    ratio = F.try_divide  # a group without one of the samples gives nulls
+    gap = F.abs(ratio(F.col("p_below") + F.col("p"), F.col("n1").cast("double")) - ratio(F.col("n_below") + F.col("n"), F.col("n0").cast("double")))
     ties = (F.col("p") + F.col("n")).cast("double")
     out = t.groupBy(*by).agg(
         F.max(gap).alias("ks"),
@@ -46,8 +47,8 @@ def two_sample(df: DataFrame, value: str, group: str, by: list[str] | None = Non
         F.first("n0").cast("double").alias("n0"),
     )
     n = F.col("n1") + F.col("n0")
-    spread = F.sqrt(F.col("n1") * F.col("n0") / 12 * (n + 1 - F.col("t3") / (n * (n - 1))))
-    delta = 2 * F.col("u") / (F.col("n1") * F.col("n0")) - 1
+    spread = F.sqrt(F.col("n1") * F.col("n0") / 12 * (n + 1 - ratio(F.col("t3"), n * (n - 1))))
+    delta = ratio(2 * F.col("u"), F.col("n1") * F.col("n0")) - 1
     size = F.abs(F.col("delta"))
     return (
         out.withColumn("z", F.try_divide(F.col("u") - F.col("n1") * F.col("n0") / 2, spread))
@@ -136,6 +137,11 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation as an aggregate, null where a side doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def confusion_metrics(df: DataFrame, score: str, label: str, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """X19 at a threshold: accuracy, f1, mcc, sensitivity, specificity, ppv, npv."""
     by = by or []
@@ -175,9 +181,9 @@ def standardized_difference(df: DataFrame, value: str, group: str) -> DataFrame:
     """Standardised mean difference with pooled deviation, its error and 95 % limits."""
     one = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
     t = df.agg(one(F.avg, 1).alias("m1"), one(F.avg, 0).alias("m0"), one(F.var_samp, 1).alias("v1"), one(F.var_samp, 0).alias("v0"), one(F.count, 1).cast("double").alias("n1"), one(F.count, 0).cast("double").alias("n0"))
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
     t = t.withColumn("smd", F.try_divide(F.col("m1") - F.col("m0"), pooled))
-    t = t.withColumn("se", F.sqrt((F.col("n1") + F.col("n0")) / (F.col("n1") * F.col("n0")) + F.col("smd") * F.col("smd") / (2 * (F.col("n1") + F.col("n0")))))
+    t = t.withColumn("se", F.sqrt(F.try_divide(F.col("n1") + F.col("n0"), F.col("n1") * F.col("n0")) + F.try_divide(F.col("smd") * F.col("smd"), 2 * (F.col("n1") + F.col("n0")))))
     return t.select("smd", "se", (F.col("smd") - 1.96 * F.col("se")).alias("low"), (F.col("smd") + 1.96 * F.col("se")).alias("high"))
 
 

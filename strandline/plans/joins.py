@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.operators import hamming as H
 from strandline.operators import rows as R
 from strandline.operators import similarity
+from strandline.operators.statistics import pearson
 from strandline.operators.tensors import imputed_mean
 from strandline.plans.base import OBS, PROT, WIN, observations, proteins, table, windows
 from strandline.plans.registry import query
@@ -26,14 +27,14 @@ def j02_j15_exact_match(spark, sf):
     return o.select("row_id", "peptide", "doc_id", "start").join(o.select("peptide", "doc_id", "start", F.col("row_id").alias("r_id")), ["peptide", "doc_id", "start"]).select("row_id", "r_id")
 
 
-@query("""SELECT a.c_nationkey AS nation, round(corr(a.m, b.m), 6) AS r FROM
+@query("""SELECT a.c_nationkey AS nation, round(covar_pop(a.m, b.m) / nullif(stddev_pop(a.m) * stddev_pop(b.m), 0), 6) AS r FROM
 (SELECT c_nationkey, c_custkey % 97 AS k, avg(c_acctbal) AS m FROM customer GROUP BY 1, 2) a JOIN
 (SELECT c_nationkey, c_custkey % 97 AS k, count(*)::DOUBLE AS m FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2) b USING (c_nationkey, k) GROUP BY 1 HAVING count(*) > 5""")
 def j03_x26_correlation(spark, sf):
     c = table(spark, sf, "customer").withColumn("k", F.col("c_custkey") % 97)
     a = c.groupBy("c_nationkey", "k").agg(F.avg("c_acctbal").alias("x"))
     b = c.where("c_acctbal > 0").groupBy("c_nationkey", "k").agg(F.count("*").cast("double").alias("y"))
-    return a.join(b, ["c_nationkey", "k"]).groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n")).where("n > 5").drop("n")
+    return a.join(b, ["c_nationkey", "k"]).groupBy(F.col("c_nationkey").alias("nation")).agg(F.round(pearson("x", "y"), 6).alias("r"), F.count("*").alias("n")).where("n > 5").drop("n")
 
 
 @query(f"WITH {OBS} SELECT o.row_id, p.len FROM (SELECT row_id, CASE WHEN row_id % 9 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM obs) o LEFT JOIN prot p USING (doc_id)")

@@ -240,7 +240,7 @@ def x25_logo_permutation(spark, sf):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(corr(l_discount, l_tax), 6) AS pearson2 FROM lineitem")
 def x26_pearson(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.round(F.corr("l_discount", "l_tax"), 6).alias("pearson2"))
+    return table(spark, sf, "lineitem").agg(F.round(X.pearson("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.round(X.pearson("l_discount", "l_tax"), 6).alias("pearson2"))
 
 
 @query()
