@@ -61,7 +61,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the texts' ids in the order of the rows and returns what the files hold."""
-    store = write_store(with_place(docs), word_tokenizer(), order=["_file", "_row"])
+    # small slices: workers of earlier stages are still alive beside these
+    store = write_store(with_place(docs), word_tokenizer(), order=["_file", "_row"], slice_bytes=3 << 20, remember=100_000)
     return read_store(spark, store, docs.select("doc_id"))
 
 

@@ -3,8 +3,10 @@ positions, byte-level text slices and word-shingle hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -93,6 +95,35 @@ def global_position(df: DataFrame, order: list, name: str, out: str = "position"
     )
 
 
+# --------------------------------------------------------------------------- Python workers
+
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 16 MB, however long the texts are; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trimmed(run):
+    """The batch function ``run``, which gives freed memory back when its task ends: workers
+    live on between tasks and stages."""
+
+    def with_trim(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU library
+            pass
+
+    return with_trim
+
+
 # --------------------------------------------------------------------------- text slices
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import byte_slices, raw_bytes, shingle_sets, text_binary
+from strandline.llm._common import bound_batches, byte_slices, raw_bytes, shingle_sets, text_binary, trimmed
 
 SKETCH = 48
 #: Items whose index is sent to the executors at once (under about 64 MB); more make more passes.
@@ -93,6 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, block
     items of one id: once for each). Other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     schema = "doc_id long, item_id long, n_item long, n_shared long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text"))
     out = None
@@ -118,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, block
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_item", "n_shared"])
 
-        found = source.mapInArrow(search, schema)
+        found = source.mapInArrow(trimmed(search), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -126,6 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, block
 def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 75, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns, without an exchange."""
     spark = docs.sparkSession
+    bound_batches(spark)
     for block in _blocks(benchmark, block_shingles):
         by_size: dict[int, list] = {}
         for item in block:
@@ -141,7 +143,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 75, bl
                         clean[i] = not any(100 * _shared(s, index.sets[j]) >= percent * len(index.sets[j]) for index in (sent.value if len(s) else ()) for j in index.candidates(s))
                 yield batch.filter(pa.array(clean)).drop_columns(["_searched"])
 
-        docs = docs.withColumn("_searched", text_binary()).mapInArrow(keep, docs.schema)
+        docs = docs.withColumn("_searched", text_binary()).mapInArrow(trimmed(keep), docs.schema)
     return docs
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm._common import bound_batches, byte_slices, trimmed
+
 #: Labelled documents of a language that training may use, and the most languages.
 SAMPLE_DOCS = 400
 #: Longer texts are not drawn for the training (they are predicted whole like all others).
@@ -167,7 +169,7 @@ def pieces(word: str) -> list[bytes]:
 class Scorer:
     """Summed position probabilities by word, remembered for at most ``remember`` words."""
 
-    def __init__(self, model: Model, remember: int = 300_000):
+    def __init__(self, model: Model, remember: int = 200_000):
         self.model, self.languages = model, model["out"].shape[1]
         self.known: dict[str, int] = {}
         self.sums = np.zeros((remember, self.languages), np.float32)
@@ -264,27 +266,31 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 1500, samp
 def predict(docs: DataFrame, languages: list[str], model: Model | None, *carry: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, and the columns ``carry``."""
     spark = docs.sparkSession
-    base = docs.select(*carry, F.col("doc_id").alias("_doc"), held_out().alias("_held"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    kept = base.drop("_text").schema
+    bound_batches(spark)
+    own = "text" if "text" in carry else "_text"  # a carried text isn't sent twice
+    base = docs.select(*carry, F.col("doc_id").alias("_doc"), held_out().alias("_held"), *([] if "text" in carry else [F.col("text").alias("_text")]))
+    kept = base.schema if "text" in carry else base.drop("_text").schema
     sent = spark.sparkContext.broadcast(model)
     key = zlib.crc32(b"".join(model[k].tobytes() for k in sorted(model))) if model else 0
 
     def run(batches):
         scorer = _scorer(key, sent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                n = some.num_rows
+            whole = batch.column(own).fill_null("")
+            for at, to in byte_slices(whole, 6 << 20):
+                some, n = batch.slice(at, to - at), to - at
                 if scorer is None:
                     best, top = np.zeros(n, int), np.zeros(n)
                 else:
-                    p = scorer.score(some.column("_text"))
+                    p = scorer.score(whole.slice(at, n))
                     best, top = p.argmax(axis=1), np.minimum(p.max(axis=1), 1.0)
                 names = [languages[b] if s > 0 else "und" for b, s in zip(best, top)]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.names), pa.array(names, pa.string()), pa.array(top.astype(float))], names=[*kept.names, "_pred", "_score"])
+        if scorer is not None:
+            scorer.known.clear()
 
     schema = T.StructType([*kept.fields, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    out = base.mapInArrow(run, schema)
+    out = base.mapInArrow(trimmed(run), schema)
     return out.select(*(carry or [F.col("_doc").cast("long").alias("doc_id"), F.col("_held").alias("held_out")]), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import byte_slices, drop_table, materialize, raw_bytes, set_key, shingle_sets, text_binary
+from strandline.llm._common import bound_batches, byte_slices, drop_table, materialize, raw_bytes, set_key, shingle_sets, text_binary, trimmed
 from strandline.llm.components import connected_components
 
 K = 64
@@ -60,7 +60,7 @@ def sketch_table(docs: DataFrame, k: int = K) -> DataFrame:
                 edges = np.concatenate(([0], np.cumsum([len(s) for s in sketches]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(edges, flat)], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def _postings(classes: DataFrame, need: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _full_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], names=["set_key", "hashes"])
 
     # repeated (doc_id, text) rows repeat sets, and so pairs, which is harmless: links are distinct
-    return texts.mapInArrow(sets, "set_key binary, hashes binary")
+    return texts.mapInArrow(trimmed(sets), "set_key binary, hashes binary")
 
 
 def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             flat = np.concatenate(added) if added else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x) for x in numbers), pa.array(linked), pa.ListArray.from_arrays(edges, flat)], names=["a", "b", "inter", "na", "nb", "linked", "added"])
 
-    return both.mapInArrow(check, "a binary, b binary, inter long, na long, nb long, linked boolean, added array<long>")
+    return both.mapInArrow(trimmed(check), "a binary, b binary, inter long, na long, nb long, linked boolean, added array<long>")
 
 
 def _with_base(compared: DataFrame, small: int) -> DataFrame:
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, need: int =
     and are never kept where the component has an id (component_id is null otherwise).
     Repeated rows give repeated results. Other columns are ignored. ``need`` suits 75 per cent.
     """
+    bound_batches(docs.sparkSession)
     table = materialize(sketch_table(docs, k), "near-sketch")
     classes = materialize(
         table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).where("doc_id is not null"),

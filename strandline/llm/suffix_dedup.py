@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import BYTE, NULL_ID, byte_slices, drop_table, materialize, mix, raw_bytes, text_binary
+from strandline.llm._common import BYTE, NULL_ID, bound_batches, byte_slices, drop_table, materialize, mix, raw_bytes, text_binary
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -391,6 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     A null id comes before all others. Null texts are empty; texts shorter than ``length`` lose
     nothing. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     source = _source(docs)
     runs = repeated_starts(docs, length, **options)
     gathered = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))

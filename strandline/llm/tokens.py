@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm._common import drop_table, materialize, mix, new_path
+from strandline.llm._common import bound_batches, byte_slices, drop_table, materialize, mix, new_path, trimmed
 
 KEYS_A_PART = 1 << 15
 GAMMA = 2.0
@@ -79,9 +79,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.remember = remember
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
@@ -137,7 +137,7 @@ class WordEncoder:
         coded = words.flatten().dictionary_encode()
         distinct, codes = coded.dictionary, coded.indices.to_numpy()
         if len(self.known) + 2 * len(distinct) > self.remember:
-            self._forget()
+            self.forget()
         special = pc.match_substring(distinct, "<|")
         lower = pc.if_else(special, distinct, pc.ascii_lower(distinct))
         core = pc.utf8_rtrim(lower, characters=self.STOPS)
@@ -157,9 +157,9 @@ class WordEncoder:
         return self.flat[take], edges[2 * bounds]
 
 
-def _encoder(path: str) -> WordEncoder:
-    if getattr(_LOCAL, "path", None) != path:
-        _LOCAL.path, _LOCAL.encoder = path, WordEncoder(path)
+def _encoder(path: str, remember: int) -> WordEncoder:
+    if getattr(_LOCAL, "made", None) != (path, remember):
+        _LOCAL.made, _LOCAL.encoder = (path, remember), WordEncoder(path, remember)
     return _LOCAL.encoder
 
 
@@ -232,16 +232,18 @@ def _part_of(doc: np.ndarray, occurrence: np.ndarray, parts: int) -> np.ndarray:
 # --------------------------------------------------------------------------- writing
 
 
-def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, order: list | None = None, vocabulary: int = 49408) -> str:
+def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, order: list | None = None, vocabulary: int = 49408, slice_bytes: int = 16 << 20, remember: int = 500_000) -> str:
     """Encode every text, append ``end_id``, and write the store in the order of ``doc_id``
     (or of the columns ``order``). Returns the store's path.
 
     Null texts are empty, null ids come first, repeated ids follow each other (by text), other
     columns are ignored, an empty table gives a store without shards. One exchange deals the
     texts to ranges of the order; a range is a shard. ``tokenizer`` is a file that each
-    executor can open. Its words must not span ASCII white space.
+    executor can open. Its words must not span ASCII white space. ``slice_bytes`` of text and
+    ``remember`` words trade a worker's memory for speed; the ids don't depend on them.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or new_path(spark, "tokens")
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -255,11 +257,11 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
         fs.create_dir(folder, recursive=True)
         name = f"ids-{shard:05d}.bin"
         hidden = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, remember)
         with fs.open_output_stream(hidden, compression=None) as out:
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    some = batch.slice(at, 4096)
+                for at, to in byte_slices(batch.column("text"), slice_bytes):
+                    some = batch.slice(at, to - at)
                     ids, bounds = encoder.encode(some.column("text"))
                     n = np.diff(bounds)
                     payload = np.insert(ids, bounds[1:], end_id).astype(width)
@@ -273,11 +275,13 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
                     written += len(payload)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(runs, pa.int64()), pa.array(np.full(len(n), shard), pa.int32()), pa.array(starts, pa.int64()), pa.array(n + 1, pa.int64())], names=["doc_id", "run", "shard", "offset", "n"])
         fs.move(hidden, f"{folder}/{name}")
+        if remember < 200_000:
+            encoder.forget()
 
     def runs_on(d, before, run):
         return run >= 0 and d == before
 
-    slots = materialize(dealt.select("doc_id", "text").mapInArrow(encode, "doc_id long, run long, shard int, offset long, n long"), "token-slots")
+    slots = materialize(dealt.select("doc_id", "text").mapInArrow(trimmed(encode), "doc_id long, run long, shard int, offset long, n long"), "token-slots")
     # one row a shard: its ids, and the runs of equal keys at its edges
     edges = sorted(slots.groupBy("shard").agg(F.sum("n"), F.count("*"), F.min(F.struct("offset", "doc_id")), F.max(F.struct("offset", "doc_id", "run"))).collect())
     base, carried, starts, sizes, total, last, first_of = 0, 0, {}, {}, 0, None, []
