@@ -167,12 +167,13 @@ def pieces(word: str) -> list[bytes]:
 
 
 class Scorer:
-    """Summed position probabilities by word, remembered for at most ``remember`` words."""
+    """Summed position probabilities by word, and the greatest language's sum of each of its
+    segments, remembered for at most ``remember`` words."""
 
     def __init__(self, model: Model, remember: int = 200_000):
         self.model, self.languages = model, model["out"].shape[1]
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((remember, self.languages), np.float32)
+        self.sums = np.zeros((remember, self.languages + 1), np.float32)
         self.sizes = np.zeros(remember, np.int32)
 
     def _fill(self, words: list[str]) -> None:
@@ -189,13 +190,20 @@ class Scorer:
                 some = got[at : at + 4096]
                 rows = np.array([i for i, _ in some])
                 x = np.frombuffer(b"".join(p for _, p in some), np.uint8).reshape(len(some), n).T
-                np.add.at(self.sums, rows, position_probabilities(self.model, x).sum(axis=0))
+                summed = position_probabilities(self.model, x).sum(axis=0)
+                np.add.at(self.sums, rows, np.concatenate([summed, summed.max(axis=1, keepdims=True)], axis=1))
                 np.add.at(self.sizes, rows, n)
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Mean position probabilities by text; all 0 where there are no letters."""
+        return self.rate(column)[:, :-1]
+
+    def rate(self, column: pa.Array) -> np.ndarray:
+        """The same, and last the certainty: as the mean, but of each segment's own greatest
+        language. Texts of several learned languages have a low score, but a high certainty."""
         distinct, codes, bounds = words_of(column)
-        out = np.zeros((len(column), self.languages + 1))
+        width = self.languages + 1
+        out = np.zeros((len(column), width + 1))
         limit = len(self.sizes)
         # more words than are remembered at once: one share of them after the other
         for at in range(0, max(len(distinct), 1), limit):
@@ -209,7 +217,7 @@ class Scorer:
             mine = np.flatnonzero((codes >= at) & (codes < at + len(some)))
             text = np.searchsorted(bounds, mine, side="right") - 1
             row = rows[codes[mine] - at]
-            for j in range(self.languages):
+            for j in range(width):
                 out[:, j] += np.bincount(text, self.sums[row, j], len(column))
             out[:, -1] += np.bincount(text, self.sizes[row], len(column))
         return out[:, :-1] / np.maximum(out[:, -1:], 1)
@@ -254,7 +262,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 1500, samp
                 key = (piece, languages.index(r["lang"]))
                 tally[key] = tally.get(key, 0) + int(n)
     if not tally:
-        return languages, new_model(len(languages))
+        return [], None
     keys = sorted(tally)
     labels = np.array([k[1] for k in keys])
     weights = np.array([tally[k] for k in keys], float)
@@ -264,7 +272,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 1500, samp
 
 
 def predict(docs: DataFrame, languages: list[str], model: Model | None, *carry: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, and the columns ``carry``."""
+    """doc_id, held_out, lang_pred, score and certainty of every row; the columns ``carry``
+    instead of the first two."""
     spark = docs.sparkSession
     bound_batches(spark)
     own = "text" if "text" in carry else "_text"  # a carried text isn't sent twice
@@ -280,18 +289,19 @@ def predict(docs: DataFrame, languages: list[str], model: Model | None, *carry:
             for at, to in byte_slices(whole, 6 << 20):
                 some, n = batch.slice(at, to - at), to - at
                 if scorer is None:
-                    best, top = np.zeros(n, int), np.zeros(n)
+                    best, top, sure = np.zeros(n, int), np.zeros(n), np.zeros(n)
                 else:
-                    p = scorer.score(whole.slice(at, n))
+                    rated = scorer.rate(whole.slice(at, n))
+                    p, sure = rated[:, :-1], np.minimum(rated[:, -1], 1.0)
                     best, top = p.argmax(axis=1), np.minimum(p.max(axis=1), 1.0)
                 names = [languages[b] if s > 0 else "und" for b, s in zip(best, top)]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.names), pa.array(names, pa.string()), pa.array(top.astype(float))], names=[*kept.names, "_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.names), pa.array(names, pa.string()), pa.array(top.astype(float)), pa.array(sure.astype(float))], names=[*kept.names, "_pred", "_score", "_sure"])
         if scorer is not None:
             scorer.known.clear()
 
-    schema = T.StructType([*kept.fields, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*kept.fields, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_sure", T.DoubleType())])
     out = base.mapInArrow(trimmed(run), schema)
-    return out.select(*(carry or [F.col("_doc").cast("long").alias("doc_id"), F.col("_held").alias("held_out")]), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return out.select(*(carry or [F.col("_doc").cast("long").alias("doc_id"), F.col("_held").alias("held_out")]), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_sure").alias("certainty"))
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -302,4 +312,4 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     nothing could be learned. Null ids fall in one fold; repeated rows get equal results.
     """
     languages, model = fit(docs, sample_docs)
-    return predict(docs, languages, model)
+    return predict(docs, languages, model).drop("certainty")

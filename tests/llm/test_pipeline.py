@@ -66,3 +66,22 @@ def test_odd_rows_pass_all_stages(spark, sf_dir, odd_rows):
         for _, stage in P.STAGES:
             table = materialize(stage(spark, table, sf_dir), "odd-stage")
         table.count()
+
+
+def test_language_stage_judges_by_the_network(spark, sf_dir):
+    import random
+
+    rng = random.Random(5)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    foreign = ["".join(rng.choices("бвгдежзиклмнопрстуфхцчшщ    ", k=4000)), "".join(chr(rng.randint(0x4E00, 0x9FA0)) + " " * (i % 4 == 0) for i in range(3000))]
+    long = [r.text for r in given.where("length(text) between 2000 and 4000").dropDuplicates(["lang"]).collect()]
+    rows = [(-1 - i, t, None, "s", 0) for i, t in enumerate(foreign)] + [(-100, "\n".join(long), None, "s", 0)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.language_id(spark, given.select(extra.columns).union(extra), sf_dir).where("doc_id < 0").collect()}
+    assert len(long) > 1 and kept == {-100}
+
+
+def test_rows_pass_where_no_language_is_learned(spark, sf_dir):
+    rows = [(1, "some words", None, "s", 0), (2, "12 34", "en", "s", 0), (3, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.language_id(spark, docs, sf_dir).count() == 3
