@@ -1,5 +1,7 @@
 """Operators that SQL can't state, against plain Python."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,26 @@ def test_draws_follow_the_keys(spark):
     df = spark.range(4000).select(X.poisson_draw(X.uniform("id")).alias("w"))
     assert df.agg(F.avg("w")).first()[0] == pytest.approx(1, abs=0.06)
     assert df.collect() == spark.range(4000).repartition(7).select("id", X.poisson_draw(X.uniform("id")).alias("w")).orderBy("id").select("w").collect()
+
+
+def test_folds_by_counts_of_sizes_are_the_greedy_ones(spark):
+    rng = random.Random(8)
+    for _ in range(300):
+        sizes = sorted((rng.choice([1, 1, 1, 2, 3, 7, 40]) for _ in range(rng.randint(1, 60))), reverse=True)
+        want = G.balanced_partition([(n, i, i) for i, n in enumerate(sizes)], 4)
+        loads, got = [0] * 4, {}
+        for n in sorted(set(sizes), reverse=True):
+            first = sizes.index(n)
+            segments, loads = G.dealing_order(loads, n, sizes.count(n))
+            for j in range(sizes.count(n)):
+                start, order = [x for x in segments if x[0] <= j][-1]
+                got[first + j] = order[(j - start) % len(order)]
+        assert got == want
+        assert loads == [sum(sizes[i] for i, b in want.items() if b == f) for f in range(4)]
+
+
+def test_folds_stay_greedy_past_many_clusters(spark):
+    rows = spark.range(120_000).selectExpr("id as row_id", "cast(if(id < 3000, id % 40, id) as string) as cluster")
+    out = G.assign_folds(rows, "cluster").groupBy("cluster").agg(F.min("fold").alias("fold"), F.min("row_id").alias("m"), F.count("*").alias("n")).collect()
+    want = G.balanced_partition([(r.n, r.m, r.cluster) for r in out], 6)
+    assert {r.cluster: r.fold for r in out} == want
