@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A new empty folder in the shared one, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)  # only what exists is noted for removal
+    system.deleteOnExit(hadoop)
     return path
 
 
@@ -57,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     release(spark)
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out
@@ -95,6 +97,16 @@ def global_position(df: DataFrame, order: list, name: str, out: str = "position"
     )
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, share: int = 1024) -> DataFrame:
+    """``rows`` joined with ``groups``: tables, the latter with one row a key and in ``c`` how many
+    of the ``total`` rows hold it. A key of more than a ``share``-th of all rows is joined by
+    broadcast (there are fewer than ``share`` of them), so its rows stay where they are."""
+    much = F.col("c") > F.lit(total / share)
+    near = rows.join(F.broadcast(groups.where(much)), keys)  # fewer than ``share`` rows
+    far = rows.join(F.broadcast(groups.where(much).select(*keys)), keys, "left_anti").join(groups.where(~much), keys)
+    return near.unionByName(far)
+
+
 # --------------------------------------------------------------------------- Python workers
 
 BATCH_BYTES = 16 << 20

@@ -25,16 +25,15 @@ Every byte covered by a string of ``length`` bytes that also starts earlier is r
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import BYTE, NULL_ID, bound_batches, byte_slices, drop_table, materialize, mix, raw_bytes, text_binary
+from strandline.llm._common import BYTE, NULL_ID, bound_batches, byte_slices, drop_table, join_counted, materialize, mix, new_path, raw_bytes, text_binary
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,31 +107,37 @@ def find_reads(buf: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM)
 
 
 class _Files:
-    """Arrays kept in sequential files between the rounds."""
+    """Arrays kept in sequential files between the rounds, in a new folder below ``folder`` (a
+    shared one; a task that runs again has another). Rounds write to two files by turns."""
 
-    def __init__(self):
-        self.folder = tempfile.mkdtemp(prefix="bwt-")
+    def __init__(self, folder: str):
+        uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+        self.fs, path = pafs.FileSystem.from_uri(uri)
+        self.folder = f"{path}/bwt-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.folder, recursive=True)
+        self.turn: dict[str, int] = {}
 
     def put(self, name: str, array: np.ndarray) -> None:
-        path = os.path.join(self.folder, name)
-        array.tofile(path + ".new")
-        os.replace(path + ".new", path)
+        self.turn[name] = 1 - self.turn.get(name, 0)
+        with self.fs.open_output_stream(f"{self.folder}/{name}{self.turn[name]}", compression=None) as out:
+            out.write(array)
 
     def get(self, name: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), np.uint8)
+        with self.fs.open_input_stream(f"{self.folder}/{name}{self.turn[name]}", compression=None) as file:
+            return np.frombuffer(file.read(), np.uint8)
 
     def close(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        self.fs.delete_dir(self.folder)
 
 
-def collection_bwt(data: np.ndarray, ends: np.ndarray):
+def collection_bwt(data: np.ndarray, ends: np.ndarray, folder: str):
     """Transform, common prefixes and suffix order (read, suffix length) of a collection.
 
     ``data`` holds symbols 1..255, ``ends`` the reads' offsets; 0 marks a read's end. Reads
     have at most 254 symbols. After round j the arrays describe all suffixes of up to j symbols.
     """
     count, lengths = len(ends) - 1, np.diff(ends)
-    files = _Files()
+    files = _Files(folder)
     try:
         files.put("bwt", np.zeros(count, np.uint8))
         files.put("lcp", np.zeros(count, np.uint8))
@@ -140,7 +145,7 @@ def collection_bwt(data: np.ndarray, ends: np.ndarray):
         live = np.arange(count)
         for j in range(int(lengths.max(initial=0))):
             live = live[lengths[live] > j]
-            bwt, lcp = files.get("bwt"), files.get("lcp")
+            bwt, lcp = files.get("bwt").copy(), files.get("lcp")
             bwt[at[live]] = data[ends[live + 1] - 1 - j]
             order = np.argsort(bwt, kind="stable")
             order = order[np.count_nonzero(bwt == 0) :]  # last-to-first: the t-th entry makes suffix count + t
@@ -190,7 +195,7 @@ def collection_bwt(data: np.ndarray, ends: np.ndarray):
     return bwt, lcp, owner, suffix
 
 
-def repeated_windows(reads: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(reads: list[bytes], doc: np.ndarray, start: np.ndarray, length: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """(read, offset) of every window of ``length`` bytes that also starts earlier, by (doc, start)."""
     sizes = np.array([len(r) for r in reads])
     ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -200,7 +205,7 @@ def repeated_windows(reads: list[bytes], doc: np.ndarray, start: np.ndarray, len
     if len(used) > 255:  # not UTF-8; the rarest symbol can't be left out, so windows are compared as such
         return _plain_windows(reads, doc, start, length)
     alphabet[used] = np.arange(1, len(used) + 1)
-    _, lcp, owner, suffix = collection_bwt(alphabet[raw], ends)
+    _, lcp, owner, suffix = collection_bwt(alphabet[raw], ends, folder)
     group = np.cumsum(lcp < length)
     use = np.flatnonzero(suffix >= length)
     size = np.bincount(group[use])
@@ -253,49 +258,51 @@ def shared_part(reads: list[bytes], f: np.ndarray, anchor: np.ndarray) -> tuple[
 
 
 def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["f", "variants", "doc", "th", "start", "anchor", "bytes"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["f", "variants", *TEXT, "start", "anchor", "bytes"])
 
 
 # --------------------------------------------------------------------------- the operator
 
-TEXT_BITS = (1 << 18) - 1
+#: A text's identity: its id, and for texts of one id 64 bits of one hash and 18 of another.
+TEXT = ("doc", "th", "tc")
+CHECK_BITS = (1 << 18) - 1
 
 
 def _source(docs: DataFrame) -> DataFrame:
     text = text_binary()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.crc32(text).bitwiseAND(F.lit(TEXT_BITS)).cast("int").alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.crc32(text).bitwiseAND(F.lit(CHECK_BITS)).cast("int").alias("tc"), text.alias("text"))
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """Start, number of windows and the anchor's offset (up to 127 each) and text check in one
-    long, ordered by start."""
-    return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 25) | (anchor.astype(np.int64) << 18) | th.astype(np.int64)
+def _pack(tc: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The text's check, start (below 2**31), number of windows and the anchor's offset (up to
+    127 each) in one long, ordered by check and start."""
+    return (tc.astype(np.int64) << 45) | (start.astype(np.int64) << 14) | (windows.astype(np.int64) << 7) | anchor.astype(np.int64)
 
 
 def _unpack(column: str):
-    """start, windows, anchor, th"""
+    """tc, start, windows, anchor"""
     c = F.col(column)
-    part = lambda shift, bits: F.shiftright(c, shift).bitwiseAND(F.lit(bits)).cast("int")
-    return F.shiftright(c, 32).cast("int").alias("start"), part(25, 127).alias("windows"), part(18, 127).alias("anchor"), c.bitwiseAND(F.lit(TEXT_BITS)).cast("int").alias("th")
+    part = lambda shift, bits, name: F.shiftright(c, shift).bitwiseAND(F.lit(bits)).cast("int").alias(name)
+    return part(45, CHECK_BITS, "tc"), part(14, 2**31 - 1, "start"), part(7, 127, "windows"), part(0, 127, "anchor")
 
 
 def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_reads: int = HOT_READS, collection: int = COLLECTION) -> DataFrame:
-    """doc, th, start, windows: runs of window starts that repeat an earlier window."""
+    """doc, th, tc, start, windows: runs of window starts that repeat an earlier window."""
     if not (2 * gram <= length <= 120):
         raise ValueError("windows of 48 to 120 bytes are supported")
     source = _source(docs)
-    kinds = "f long, rh long, doc long, pack long"
+    kinds = "f long, rh long, doc long, th long, pack long"
 
     def occurrences(batches):
         for batch in batches:
             column = batch.column("text")
-            doc, th = (batch.column(c).to_numpy() for c in ("doc", "th"))
+            doc, th, tc = (batch.column(c).to_numpy() for c in TEXT)
             for a, b in byte_slices(column):
                 buf, ends = raw_bytes(column.slice(a, b - a))
                 d, s, n, f, rh, p = find_reads(buf, ends, length, gram)
                 if len(d):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, rh, doc[a + d], _pack(s, n, p, th[a + d]))], names=["f", "rh", "doc", "pack"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, rh, doc[a + d], th[a + d], _pack(tc[a + d], s, n, p))], names=["f", "rh", "doc", "th", "pack"])
 
     def anchors(batches):
         for batch in batches:
@@ -307,78 +314,85 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
                     yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(np.minimum(np.diff(np.append(at, len(f))), 2).astype(np.int32))], names=["f", "c"])
 
     often = materialize(source.select("text").mapInArrow(anchors, "f long, c int").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f"), "suffix-anchors")
-    matched = materialize(source.select("doc", "th", "text").mapInArrow(occurrences, kinds).join(often, "f"), "suffix-reads")
+    matched = materialize(source.select(*TEXT, "text").mapInArrow(occurrences, kinds).join(often, "f"), "suffix-reads")
     drop_table(often)
     del often
 
-    firsts = materialize(matched.groupBy("f", "rh").agg(F.min(F.struct("doc", "pack")).alias("first"), F.count("*").alias("c")), "suffix-firsts")
+    firsts = materialize(matched.groupBy("f", "rh").agg(F.min(F.struct("doc", "th", "pack")).alias("first"), F.count("*").alias("c")), "suffix-firsts")
     variants = firsts.groupBy("f").agg(F.count("*").alias("variants")).where("variants > 1")
     # equal reads: all but the first repeat as a whole
-    later = matched.join(firsts.where("c > 1").select("f", "rh", "first"), ["f", "rh"]).where("doc <> first.doc or pack >> 32 <> first.pack >> 32")
-    start, windows, _, th = _unpack("pack")
-    whole = later.select("doc", th, start, windows)
+    later = join_counted(matched, firsts.where("c > 1"), ["f", "rh"], matched.count()).where("doc <> first.doc or th <> first.th or pack <> first.pack")
+    tc, start, windows, _ = _unpack("pack")
+    whole = later.select("doc", "th", tc, start, windows)
 
     # different reads of one anchor: fetch their bytes
-    compare = firsts.join(variants, "f").select("f", "variants", "first.doc", *_unpack("first.pack"))
-    by_doc = compare.groupBy("doc", "th").agg(F.collect_list(F.struct("f", "variants", "start", "windows", "anchor")).alias("reads"))
+    compare = firsts.join(variants, "f").select("f", "variants", "first.doc", "first.th", *_unpack("first.pack"))
+    by_doc = compare.groupBy(*TEXT).agg(F.collect_list(F.struct("f", "variants", "start", "windows", "anchor")).alias("reads"))
 
     def fetch(batches):
         for batch in batches:
             rows = []
             text, reads = batch.column("text"), batch.column("reads")
-            doc, th = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
+            names = list(zip(*(batch.column(c).to_pylist() for c in TEXT)))
             for i in range(batch.num_rows):
                 data = text[i].as_buffer().to_pybytes()
                 for r in reads[i].as_py():
-                    rows.append((r["f"], r["variants"], doc[i], th[i], r["start"], r["anchor"], data[r["start"] : r["start"] + r["windows"] + length - 1]))
+                    rows.append((r["f"], r["variants"], *names[i], r["start"], r["anchor"], data[r["start"] : r["start"] + r["windows"] + length - 1]))
                     if len(rows) >= 20_000:
                         yield _read_batch(rows)
                         rows = []
             if rows:
                 yield _read_batch(rows)
 
-    reads = source.select("doc", "th", "text").join(by_doc, ["doc", "th"]).select("doc", "th", "text", "reads").mapInArrow(fetch, "f long, variants long, doc long, th int, start int, anchor int, bytes binary")
+    reads = source.select(*TEXT, "text").join(by_doc, list(TEXT)).select(*TEXT, "text", "reads").mapInArrow(fetch, "f long, variants long, doc long, th long, tc int, start int, anchor int, bytes binary")
     reads = materialize(reads, "suffix-compare")
     volume = reads.where(F.col("variants") <= hot_reads).agg(F.sum(F.length("bytes"))).first()[0] or 0
     collections = max(1, -(-volume // collection))
+    folder = new_path(docs.sparkSession, "suffix-files")
 
     def transform(table):
         data = table.column("bytes").to_pylist()
-        f, doc, th, start, anchor = (table.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("f", "doc", "th", "start", "anchor"))
+        f, doc, th, tc, start, anchor = (table.column(c).combine_chunks().to_numpy().astype(np.int64) for c in ("f", *TEXT, "start", "anchor"))
         lo, hi = shared_part(data, f, anchor)
+        # texts by number, in their order
+        by = np.lexsort((tc, th, doc))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (doc[by][1:] != doc[by][:-1]) | (th[by][1:] != th[by][:-1]) | (tc[by][1:] != tc[by][:-1])
+        text = np.empty(len(by), np.int64)
+        text[by] = np.cumsum(fresh)
         out = []
         # equal shared parts: all but the first repeat as a whole, the first stands for them
         seen: dict[tuple, int] = {}
         use = np.flatnonzero(hi - lo >= length)
-        for i in use[np.lexsort((start[use] + lo[use], doc[use]))]:
+        for i in use[np.lexsort((start[use] + lo[use], text[use]))]:
             key = (f[i], data[i][lo[i] : hi[i]])
             j = seen.setdefault(key, i)
-            if doc[j] != doc[i] or start[j] + lo[j] != start[i] + lo[i]:
-                out.append((doc[i], th[i], start[i] + lo[i], hi[i] - lo[i] - length + 1))
+            if text[j] != text[i] or start[j] + lo[j] != start[i] + lo[i]:
+                out.append((doc[i], th[i], tc[i], start[i] + lo[i], hi[i] - lo[i] - length + 1))
         count: dict[int, int] = {}
         for g, _ in seen:
             count[g] = count.get(g, 0) + 1
         left = [(i, part) for (g, part), i in seen.items() if count[g] > 1]
         if left:
             at = np.array([i for i, _ in left])
-            owner, offset = repeated_windows([part for _, part in left], doc[at], (start + lo)[at], length)
+            owner, offset = repeated_windows([part for _, part in left], text[at], (start + lo)[at], length, folder)
             order = np.lexsort((offset, owner))
             owner, offset = owner[order], offset[order]
             new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
             n = np.diff(np.append(new, len(owner)))
             o = at[owner[new]]
-            out += zip(doc[o], th[o], (start + lo)[o] + offset[new], n)
-        cols = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(np.array(c, np.int64)).cast(t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "th", "start", "windows"])
+            out += zip(doc[o], th[o], tc[o], (start + lo)[o] + offset[new], n)
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.table([pa.array(np.array(c, np.int64)).cast(t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=[*TEXT, "start", "windows"])
 
     cool = reads.where(F.col("variants") <= hot_reads).withColumn("part", F.pmod(F.xxhash64("f"), F.lit(collections)))
-    exact = cool.select("part", "f", "doc", "th", "start", "anchor", "bytes").groupBy("part").applyInArrow(transform, "doc long, th int, start int, windows int")
+    exact = cool.select("part", "f", *TEXT, "start", "anchor", "bytes").groupBy("part").applyInArrow(transform, "doc long, th long, tc int, start int, windows int")
 
     # anchors with more reads than a collection takes: window by window
-    hot = reads.where(F.col("variants") > hot_reads).select("doc", "th", F.col("start").alias("at"), "bytes", F.explode(F.expr(f"sequence(1, length(bytes) - {length - 1})")).alias("o"))
-    hot = hot.select("doc", "th", (F.col("at") + F.col("o") - 1).alias("start"), F.md5(F.substring("bytes", F.col("o"), F.lit(length))).alias("w"))
-    lead = hot.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    split = hot.join(lead, "w").where("doc <> first.doc or start <> first.start").select("doc", "th", "start", F.lit(1).alias("windows"))
+    hot = reads.where(F.col("variants") > hot_reads).select(*TEXT, F.col("start").alias("at"), "bytes", F.explode(F.expr(f"sequence(1, length(bytes) - {length - 1})")).alias("o"))
+    hot = hot.select(*TEXT, (F.col("at") + F.col("o") - 1).alias("start"), F.md5(F.substring("bytes", F.col("o"), F.lit(length))).alias("w"))
+    lead = hot.groupBy("w").agg(F.min(F.struct(*TEXT, "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    split = hot.join(lead, "w").where("struct(doc, th, tc, start) <> first").select(*TEXT, "start", F.lit(1).alias("windows"))
     return whole.union(exact).union(split)
 
 
@@ -386,15 +400,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``keep_text`` also
     the bytes that remain (they may cut a character).
 
-    A string's place is (doc_id, start): strings at the same place in repeated rows of one
-    document are one string, so repeated rows are treated alike and lose nothing to each other.
-    A null id comes before all others. Null texts are empty; texts shorter than ``length`` lose
+    Rows with one doc_id and one text are one document: they are treated alike and lose nothing
+    to each other. Different texts under one doc_id (or under none) are documents of their own,
+    in the order of a hash of the text. A null id comes before all others. Null texts are empty; texts shorter than ``length`` lose
     nothing. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     source = _source(docs)
     runs = repeated_starts(docs, length, **options)
-    gathered = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    gathered = runs.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
     def cut(batches):
         for batch in batches:
@@ -426,4 +440,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return source.join(gathered, ["doc", "th"], "left").select("doc_id", "text", "runs").mapInArrow(cut, kinds)
+    return source.join(gathered, list(TEXT), "left").select("doc_id", "text", "runs").mapInArrow(cut, kinds)
