@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm._common import NULL_ID, global_position, materialize
+from strandline.llm._common import NULL_ID, bound_batches, global_position, materialize
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
 LEVELS = (1, 4, 16)
+LARGEST = float(np.finfo(np.float64).max)
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +41,8 @@ def block_top(queries: np.ndarray, q_uid: np.ndarray, rows: np.ndarray, uid: np.
     Ties at the k-th score are all kept (the row order decides later).
     """
     exact = np.float64 if rows.shape[1] * float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2**52 else None
-    if exact is None:  # beyond the exact range of doubles: whole numbers throughout
-        whole = [[[int(x) for x in v] for v in side] for side in (queries, rows)]
-        scores = [[sum(a * b for a, b in zip(q, r)) for r in whole[1]] for q in whole[0]]
-        out = []
-        for i in range(len(queries)):
-            order = sorted((j for j in range(len(rows)) if uid[j] != q_uid[i]), key=lambda j: -scores[i][j])
-            if order:
-                least = scores[i][order[min(k, len(order)) - 1]]
-                out += [(i, j, scores[i][j]) for j in order if scores[i][j] >= least]
-        return out
+    if exact is None:
+        return _large_top(queries, q_uid, rows, uid, k)
     q, c = queries.astype(exact), rows.astype(exact)
     stats = [(segment_statistics(q, s), segment_statistics(c, s)) for s in levels]
     # the exact scores of the rows that look best at the coarsest level set a first threshold
@@ -74,6 +67,34 @@ def block_top(queries: np.ndarray, q_uid: np.ndarray, rows: np.ndarray, uid: np.
     return out
 
 
+def _large_top(queries: np.ndarray, q_uid: np.ndarray, rows: np.ndarray, uid: np.ndarray, k: int):
+    """``block_top`` beyond the exact range of doubles: products in doubles with the bound of their
+    error name the rows that may be best, whole numbers of any size decide between these."""
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, q in enumerate(queries):
+            near, wide = rows @ q, (np.abs(rows) @ np.abs(q)) * (rows.shape[1] + 2) * 2.0**-52
+            low, high = (np.where(np.isnan(x), side, x) for x, side in ((near - wide, -np.inf), (near + wide, np.inf)))
+            others = np.flatnonzero(uid != q_uid[i])
+            if not len(others):
+                continue
+            floor = np.sort(low[others])[::-1][min(k, len(others)) - 1]
+            whole = [int(x) for x in q]
+            scores = {int(j): sum(a * int(b) for a, b in zip(whole, rows[j])) for j in others[high[others] >= floor]}
+            least = sorted(scores.values(), reverse=True)[min(k, len(scores)) - 1]
+            out += [(i, j, s) for j, s in scores.items() if s >= least]
+    return out
+
+
+def _place(score: int) -> bytes:
+    """Bytes in the order of the scores that 64 bits can't tell apart; nothing for all others."""
+    if -(2**63) < score < 2**63 - 1:
+        return b""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = b"\x80" + size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return raw if score > 0 else bytes(255 - x for x in raw)
+
+
 def pack(vectors: DataFrame, scale: int, block: int = BLOCK) -> DataFrame:
     """Blocks of whole-number vectors floor(scale * x): block, dim, n, ids, data."""
 
@@ -88,7 +109,7 @@ def pack(vectors: DataFrame, scale: int, block: int = BLOCK) -> DataFrame:
                 if x.dtype == object or not len(x):
                     continue
                 x = x.astype(np.float64)
-                if v.values.null_count or not np.isfinite(x).all():
+                if v.values.null_count or not (np.abs(x) < LARGEST / scale).all():
                     continue
                 rows.setdefault(len(x), []).append((i, np.floor(scale * x)))
             ids = batch.column("id")
@@ -107,10 +128,11 @@ def top_k(vectors: DataFrame, k: int = 5, modulus: int = 50, scale: int = 256, i
     """query_id, rank, vec_id, score: the k greatest inner products of each query (an id
     divisible by ``modulus``) with every other row, ties to the smaller id.
 
-    Vectors null, empty, or holding null or non-finite components take no part; vectors of
-    different lengths don't meet. Scores beyond 64 bits order exactly and are returned as the limit. Rows with a null id are candidates (last among ties) and no
+    Vectors null, empty, or holding null components or ones that aren't finite once scaled take no
+    part; vectors of different lengths don't meet. Scores beyond 64 bits order exactly and are returned as the limit. Rows with a null id are candidates (last among ties) and no
     queries. A repeated row is another candidate, and another query with results of its own.
     """
+    bound_batches(vectors.sparkSession)
     blocks = pack(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), scale)
 
     def queries(batches):
@@ -150,11 +172,11 @@ def top_k(vectors: DataFrame, k: int = 5, modulus: int = 50, scale: int = 256, i
                 keep: dict[int, list] = {}
                 for i, j, s in rows:
                     keep.setdefault(i, []).append((-s, ids[j] == NULL_ID, int(ids[j])))
-                rows = [(int(q_blocks[i]), int(q_rows[i]), int(q_ids[i]), v, max(-(2**63), min(2**63 - 1, -s))) for i, got in keep.items() for s, _, v in sorted(got)[:k]]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["q_block", "q_row", "query_id", "vec_id", "score"])
+                rows = [(int(q_blocks[i]), int(q_rows[i]), int(q_ids[i]), v, max(-(2**63), min(2**63 - 1, -s)), _place(-s)) for i, got in keep.items() for s, _, v in sorted(got)[:k]]
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())], names=["q_block", "q_row", "query_id", "vec_id", "score", "place"])
 
-    best = met.select("block", "dim", "ids", "data", "q_ids", "q_blocks", "q_rows", "q_data").mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
+    best = met.select("block", "dim", "ids", "data", "q_ids", "q_blocks", "q_rows", "q_data").mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long, place binary")
     best = best.withColumn("vec_id", F.when(F.col("vec_id") != NULL_ID, F.col("vec_id")))
-    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    order = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), F.desc("place"), F.col("vec_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

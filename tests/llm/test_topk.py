@@ -47,3 +47,13 @@ def test_numbers_beyond_doubles():
     rows = np.array([[2.0**40, 1.0], [2.0**40, 3.0], [1.0, 1.0]])
     got = block_top(rows[:1], np.array([0]), rows, np.arange(3), 1)
     assert [(i, j, int(s)) for i, j, s in got] == [(0, 1, 2**80 + 3)]
+
+
+def test_large_components_among_many_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) * 2.0 ** int(e) for x, e in zip(rng.integers(-9, 9, 6), rng.integers(0, 300, 6))]) for i in range(300)]
+    rows += [(1000 + i, [2.0**200, float(i)] + [0.0] * 4) for i in range(40)] + [(2000, [1e308] * 6)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = [(q, r, v, limit(s)) for q, r, v, s in brute([x for x in rows if x[0] != 2000])]
+    assert sorted(map(tuple, got)) == sorted(want)
