@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm._common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -110,10 +113,15 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base spans, and looser ones that touch none of them; the flag marks base spans."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    # spans of different kinds may overlap: the furthest end up to each
+    firsts, reach, far = [a for a, _ in taken], [], 0
+    for _, b in taken:
+        reach.append(far := max(far, b))
     out = [(k, a, b, True) for k, a, b in base]
     for kind, pattern in LOOSE.items():
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
+            at = bisect_left(firsts, m.end())
+            if not at or reach[at - 1] <= m.start():
                 out.append((kind, m.start(), m.end(), False))
     return out
 
@@ -229,7 +237,8 @@ def vote_counts(docs: DataFrame) -> dict[tuple, int]:
         for batch in batches:
             column = batch.column("text")
             seen: dict[tuple, int] = {}
-            for text in column.filter(pa.array(_worth(column))).to_pylist():
+            for i in np.flatnonzero(_worth(column)):
+                text = column[int(i)].as_py()
                 for kind, a, b, strict in candidates(text):
                     key = (kind, *votes(text, kind, a, b, strict), features(text, kind, a, b))
                     seen[key] = seen.get(key, 0) + 1
@@ -243,13 +252,14 @@ def vote_counts(docs: DataFrame) -> dict[tuple, int]:
 
 
 def find_personal_data(docs: DataFrame, accept: float = 0.9) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of every row.
 
-    The counts and the digest are of the base spans; ``spans`` holds base and accepted spans as
+    The counts by kind and the digest are of the base spans; ``spans`` (``n_spans`` of them) holds base and accepted spans as
     kind:start:end by kind, then start, joined by commas (code points, end exclusive). A null
     text is empty. Repeated rows repeat results and count as often in the statistics; null ids
     are returned as null; other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     counts = vote_counts(docs)
     model = estimate(counts)
     weights = train(counts, model) if counts else np.zeros(len(KINDS) + N_FEATURES)
@@ -266,7 +276,7 @@ def find_personal_data(docs: DataFrame, accept: float = 0.9) -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             n = {k: np.zeros(batch.num_rows, np.int64) for k in KINDS}
-            digest, spans = [nothing] * batch.num_rows, [""] * batch.num_rows
+            digest, spans, total = [nothing] * batch.num_rows, [""] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
             for i in np.flatnonzero(_worth(column)):
                 text = column[int(i)].as_py()
                 found = candidates(text)
@@ -274,7 +284,8 @@ def find_personal_data(docs: DataFrame, accept: float = 0.9) -> DataFrame:
                 for kind, _, _ in base:
                     n[kind][i] += 1
                 digest[i] = hashlib.sha256(write(base).encode()).hexdigest()
-                spans[i] = write(base + [s[:3] for s in found if not s[3] and accepted(text, *s[:3])])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n[k]) for k in KINDS), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                everything = base + [s[:3] for s in found if not s[3] and accepted(text, *s[:3])]
+                spans[i], total[i] = write(everything), len(everything)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(n[k]) for k in KINDS), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(total)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return _source(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -38,7 +38,8 @@ def test_known_spans(docs):
     listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     assert one[0].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
     assert set(listed.split(",")) <= set(one[0].spans.split(","))
-    assert all(r.spans == "" and r.n_email == 0 for r in out if r.doc_id != 1)
+    assert one[0].n_spans == len(one[0].spans.split(","))
+    assert all(r.spans == "" and r.n_spans == 0 and r.n_email == 0 for r in out if r.doc_id != 1)
     assert pii.find_personal_data(docs([])).count() == 0
 
 
@@ -61,3 +62,5 @@ def test_long_texts_take_linear_time():
     assert pii.base_spans("a" * 400_000 + "@") == []
     assert pii.base_spans("1" * 400_000 + ".") == []
     assert pii.base_spans("+" * 200_000) == []
+    many = "555 123 4567 " * 20_000 + "10.0.0.1 " * 20_000
+    assert len(pii.candidates(many)) == 40_000
