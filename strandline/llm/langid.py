@@ -22,11 +22,11 @@ from pyspark.sql import types as T
 
 from strandline.llm._common import bound_batches, byte_slices, trimmed
 
-#: Labelled documents of a language that training may use, and the most languages.
+#: Labelled documents of a language that training may use, and of all languages (one each at least).
 SAMPLE_DOCS = 400
-#: Longer texts are not drawn for the training (they are predicted whole like all others).
-SAMPLE_BYTES = 1 << 16
-MAX_LANGUAGES = 64
+SAMPLE_ALL = 25_600
+#: Characters of a labelled text that training may use (texts are predicted whole).
+SAMPLE_CHARS = 1 << 15
 #: Bytes of a segment; longer words are read in pieces.
 SEGMENT = 32
 HIDDEN = 16
@@ -238,18 +238,25 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 1500, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], Model | None]:
-    """Languages and network from at most ``sample_docs`` labelled documents of each of the
-    ``MAX_LANGUAGES`` most frequent languages, drawn by a hash of doc_id, none held out or longer than ``sample_bytes``."""
-    labelled = docs.select(F.col("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).where(F.octet_length("text") <= sample_bytes)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = 1500, sample_chars: int = SAMPLE_CHARS, sample_all: int = SAMPLE_ALL) -> tuple[list[str], Model | None]:
+    """All non-null languages and the network. It learns from at most ``sample_docs`` labelled
+    documents of each language (fewer, if these were more than ``sample_all``; one at least),
+    drawn by a hash of doc_id, none held out; of longer texts from ``sample_chars`` characters,
+    from a place drawn likewise."""
+    labelled = docs.select(F.col("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return [], None
     languages = sorted(r["lang"] for r in counts)
-    draw = F.crc32(F.concat(F.lit("draw:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / float(2**32)
-    chance = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(1.2 * sample_docs / r["count"]))]), F.col("lang"))
-    # about 1.2 times the bound is drawn
-    rows = labelled.where(F.col("lang").isin(languages)).where(draw < chance).select("doc_id", "text", "lang").withColumn("draw", draw).orderBy("draw", "doc_id").limit(int(1.5 * sample_docs * len(languages))).collect()
+    sample_docs = max(1, min(sample_docs, sample_all // len(languages)))
+    hashed = lambda use: F.crc32(F.concat(F.lit(use), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / float(2**32)
+    # somewhat more than the bound is drawn, so that it is met
+    share = {r["lang"]: (1.2 * sample_docs + 10) / r["count"] for r in counts}
+    chance = F.element_at(F.create_map(*[x for name, c in share.items() for x in (F.lit(name), F.lit(c))]), F.col("lang"))
+    most = int(sum(min(r["count"], 1.5 * sample_docs + 40) for r in counts))
+    room = F.length("text") - sample_chars
+    piece = F.when(room > 0, F.substring("text", (hashed("place:") * (room + 1)).cast("int") + 1, F.lit(sample_chars))).otherwise(F.col("text"))
+    rows = labelled.withColumn("draw", hashed("draw:")).where(F.col("draw") < chance).select("doc_id", piece.alias("text"), "lang", "draw").orderBy("draw", "doc_id").limit(most).collect()
     tally: dict[tuple, int] = {}
     taken: dict[str, int] = {}
     for r in rows:

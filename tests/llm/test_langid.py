@@ -65,3 +65,18 @@ def test_remembering_changes_nothing():
     model = langid.new_model(3)
     column = pa.array([t for _, t, *_ in corpus(40)] + ["", "a" * 100])
     assert np.allclose(langid.Scorer(model, 10).score(column), langid.Scorer(model).score(column), atol=1e-6)
+
+
+def test_many_languages_and_long_texts_only(docs):
+    """No language is left out, however many there are and however long its texts."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdef", k=5)), f"l{i % 90:02d}", "s") for i in range(900)]
+    rows += [(5000 + i, "qwx zyq " * 30_000, "long", "s") for i in range(6)]
+    languages, model = langid.fit(docs(rows), steps=5)
+    assert len(languages) == 91 and model["out"].shape[1] == 91
+
+
+def test_learns_a_language_of_long_texts(docs):
+    rows = corpus(120) + [(5000 + i, "qwx zyq " * 30_000, "long", "s") for i in range(10)]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs(rows)).collect()}
+    assert all(out[5000 + i] == "long" for i in range(10))
