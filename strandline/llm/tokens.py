@@ -31,6 +31,8 @@ from strandline.llm._common import bound_batches, byte_slices, drop_table, mater
 
 KEYS_A_PART = 1 << 15
 GAMMA = 2.0
+#: Ids of a shard that one task reads back.
+STRETCH_BITS = 24
 MAGIC = b"MPHIDX01"
 _LOCAL = threading.local()
 
@@ -46,7 +48,14 @@ def _write(folder: str, name: str, data: bytes) -> None:
     hidden = f"{path}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     with fs.open_output_stream(hidden, compression=None) as out:
         out.write(data)
-    fs.move(hidden, f"{path}/{name}")
+    _place(fs, hidden, f"{path}/{name}")
+
+
+def _place(fs, hidden: str, path: str) -> None:
+    """Name a whole file; what an earlier attempt of the task left there is the same and goes first."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(hidden, path)
 
 
 def _read(folder: str, name: str) -> bytes:
@@ -274,7 +283,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
                     starts = written + bounds[:-1] + np.arange(len(n))
                     written += len(payload)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(runs, pa.int64()), pa.array(np.full(len(n), shard), pa.int32()), pa.array(starts, pa.int64()), pa.array(n + 1, pa.int64())], names=["doc_id", "run", "shard", "offset", "n"])
-        fs.move(hidden, f"{folder}/{name}")
+        _place(fs, hidden, f"{folder}/{name}")
         if remember < 200_000:
             encoder.forget()
 
@@ -365,7 +374,7 @@ def read_store(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     (column doc_id; the n-th row of an id is its n-th occurrence).
 
     Keys are dealt to index parts, the found places to shards; each task reads one part or
-    the ranges of one shard in ascending order. Keys that the store doesn't hold give no row.
+    the ranges of one stretch of a shard in ascending order. Keys that the store doesn't hold give no row.
     """
     manifest = json.loads(_read(path, "manifest.json"))
     parts, width = manifest["parts"], manifest["width"]
@@ -407,4 +416,5 @@ def read_store(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         return pa.table([table.column("doc_id").combine_chunks(), pa.array(offset + starts[shard]), pa.array(n), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     found = each.mapInArrow(deal, "part long, doc long, occ long").groupBy("part").applyInArrow(look_up, "doc_id long, shard int, offset long, n long")
-    return found.groupBy("shard").applyInArrow(checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    stretch = F.shiftright("offset", STRETCH_BITS).alias("stretch")
+    return found.groupBy("shard", stretch).applyInArrow(checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
