@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.llm._common import drop_table, materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (columns a, b).
 
     Each round points every node's larger neighbours, then its smaller ones, at its least
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     table, seen = None, None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u points at the least of u and its neighbours
         around = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -34,6 +34,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -28,6 +28,9 @@ members (``NEXT_SMALL`` on later levels) compare members of different components
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +40,19 @@ from strandline.llm._common import bound_batches, byte_slices, drop_table, mater
 from strandline.llm.components import connected_components
 
 K = 64
-NEED = 27
+#: The chance to miss a link at exactly the asked similarity.
+MISS = 2e-8
 SMALL = 24
 NEXT_SMALL = 512
-LEVELS = 12
+
+
+def needed_values(percent: int, k: int = K, miss: float = MISS) -> int:
+    """The most shared values that two sketches of ``k`` can be asked for: with similarity
+    ``percent`` they share fewer with a chance of at most ``miss``."""
+    p, below, need = percent / 100, 0.0, 0
+    while need < k and (below := below + math.comb(k, need) * p**need * (1 - p) ** (k - need)) <= miss:
+        need += 1
+    return need
 
 
 def sketch_table(docs: DataFrame, k: int = K) -> DataFrame:
@@ -63,7 +75,7 @@ def sketch_table(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text")).mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def _postings(classes: DataFrame, need: int) -> DataFrame:
+def _postings(classes: DataFrame, percent: int, need: int) -> DataFrame:
     """value, key, n, weight: the shared retained values that a class is listed under; the
     weight grows with the frequency of its values."""
     each = classes.select("set_key", "n_shingles", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
@@ -71,20 +83,20 @@ def _postings(classes: DataFrame, need: int) -> DataFrame:
     shared = each.join(frequent, "value")
     # values of one class only come first in the order; what is left of the prefix goes to the rarest shared ones
     by_class = shared.groupBy("set_key", "n_shingles", "size").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), (F.sum(F.log("df")) / F.first("size")).alias("weight"))
-    room = f"cast(size(vs) + 1 - least({need}, ceil(n_shingles * 0.75)) as int)"
+    room = f"cast(size(vs) + 1 - least({need}, ceil(n_shingles * {percent} / 100D)) as int)"
     return by_class.where(f"{room} > 0").select("set_key", "n_shingles", "weight", F.explode(F.expr(f"slice(vs, 1, {room})")).alias("p")).select(F.col("p.value").alias("value"), F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "weight")
 
 
-def _hopeful(pairs: DataFrame, sketches: DataFrame, k: int, need: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, sketches: DataFrame, percent: int, k: int, need: int) -> DataFrame:
     """Pairs whose overlap in the sketch of their union allows the similarity."""
     joined = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     overlap = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    floor = F.least(F.lit(need), F.ceil(F.least("na", "nb") * 0.75))
+    floor = F.least(F.lit(need), F.ceil(F.least("na", "nb") * percent / 100))
     return joined.where(overlap >= floor).select("a", "b")
 
 
-def _full_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _full_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """set_key and hashes: the whole shingle sets of the classes in any list, from their texts."""
     wanted = postings.select(F.col("key").alias("set_key")).distinct().join(classes.select("set_key", "doc_id"), "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_binary().alias("text")).join(wanted, "doc_id").select("set_key", "text")
@@ -96,8 +108,8 @@ def _full_sets(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
                 got = {k: s.tobytes() for k, s in zip(keys[a:b], shingle_sets(*raw_bytes(column.slice(a, b - a)))) if set_key(s) == k}
                 yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], names=["set_key", "hashes"])
 
-    # repeated (doc_id, text) rows repeat sets, and so pairs, which is harmless: links are distinct
-    return texts.mapInArrow(trimmed(sets), "set_key binary, hashes binary")
+    out = texts.mapInArrow(trimmed(sets), "set_key binary, hashes binary")
+    return out.dropDuplicates(["set_key"]) if repeated else out  # repeated ids may repeat sets
 
 
 def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -150,15 +162,15 @@ def _components_of(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(labels.toDF("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int, small: int, next_small: int, levels: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int, small: int, next_small: int, repeated: bool) -> DataFrame:
     """node, component of all linked classes."""
     sketches = classes.select("set_key", "sketch")
-    lists = materialize(_postings(classes, need), "near-postings")
-    full = materialize(_full_sets(lists, classes, docs), "near-sets")
+    lists = materialize(_postings(classes, percent, need), "near-postings")
+    full = materialize(_full_sets(lists, classes, docs, repeated), "near-sets")
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
     labels = None
-    for level in range(levels):
-        cap = small if level == 0 else next_small if level < levels - 1 else 2**62
+    for level in count():  # lists of a level have at most a tenth of the members of those before
+        cap = small if level == 0 else next_small
         heads = lists.groupBy("value").agg(F.max_by(F.struct("key", "n"), F.struct("weight", "key")).alias("h"), F.count("*").alias("members"))
         long = not heads.where(F.col("members") > cap).isEmpty()
         if level == 0 or long:
@@ -166,7 +178,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int,
             stars = lists.join(heads if level == 0 else heads.where(F.col("members") > cap), "value").where("key <> h.key")
             stars = stars.select(F.col("key").alias("a"), F.col("h.key").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"), (F.col("members") > cap).alias("big"))
             stars = materialize(stars.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("big").alias("big")), "near-stars")
-            hopeful = _hopeful(stars.where("not big").where(_similar_in_size(percent)), sketches, k, need).withColumn("big", F.lit(False))
+            hopeful = _hopeful(stars.where("not big").where(_similar_in_size(percent)), sketches, percent, k, need).withColumn("big", F.lit(False))
             seen = materialize(_compared(hopeful.union(stars.where("big").select("a", "b", "big")), full, percent), "near-compared")
             links = materialize(links.union(seen.where("linked").select("a", "b")), "near-links")
             if long:
@@ -187,7 +199,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int,
         short = materialize(short.join(mixed, "value"), "near-open")
         left, right = (short.select("value", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
         cross = left.join(right, "value").where("a < b and ca <> cb").where(_similar_in_size(percent)).select("a", "b", "na", "nb").distinct()
-        pairs = _hopeful(cross, sketches, k, need)
+        pairs = _hopeful(cross, sketches, percent, k, need)
         if not long:
             more = _compared(pairs.withColumn("big", F.lit(False)), full, percent)
             links = materialize(links.union(more.where("linked").select("a", "b")), "near-links")
@@ -210,22 +222,29 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int, k: int, need: int,
     return connected_components(links)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, need: int = NEED, small: int = SMALL, next_small: int = NEXT_SMALL, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = K, small: int = SMALL, next_small: int = NEXT_SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest doc_id reachable. Null, empty and word-less texts have no
     shingles and are their own component. Null ids join components through identical sets only
     and are never kept where the component has an id (component_id is null otherwise).
-    Repeated rows give repeated results. Other columns are ignored. ``need`` suits 75 per cent.
+    Repeated rows give repeated results. Other columns are ignored. A low ``percent`` needs wide
+    sketches (a greater ``k``); too narrow ones are refused.
     """
+    need = needed_values(percent, k)
+    if need < 1:
+        raise ValueError(f"sketches of {k} values can't find all pairs of {percent} per cent")
+    if next_small < small:
+        raise ValueError("lists get shorter by level: next_small must be at least small")
     bound_batches(docs.sparkSession)
     table = materialize(sketch_table(docs, k), "near-sketch")
     classes = materialize(
         table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).where("doc_id is not null"),
         "near-classes",
     )
-    labels = _links(docs, classes, percent, k, need, small, next_small, levels)
+    repeated = not table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    labels = _links(docs, classes, percent, k, need, small, next_small, repeated)
     of_class = classes.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(smallest, "component").select("set_key", "component_id")

@@ -1,7 +1,9 @@
 import random
 import re
 
-from strandline.llm.near_dup import near_duplicates
+import pytest
+
+from strandline.llm.near_dup import near_duplicates, needed_values
 
 
 def shingles(text):
@@ -10,7 +12,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=75):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -22,7 +24,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             same = sets[i] == sets[j] and sets[i]
-            near = rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+            near = rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
             if same or near:
                 root[find(i)] = find(j)
     low = {}
@@ -74,3 +76,22 @@ def test_odd_rows(docs, odd_rows):
     got = sorted((tuple(r) for r in near_duplicates(docs(odd_rows)).collect()), key=str)
     assert got == sorted(brute([(r[0], r[1]) for r in odd_rows]), key=str)
     assert near_duplicates(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("percent,k", [(30, 256), (50, 128), (90, 64)])
+def test_other_similarities(docs, percent, k):
+    rows = corpus(9)[:120]
+    df = docs([(i, t, "en", "s") for i, t in rows])
+    assert sorted(tuple(r) for r in near_duplicates(df, percent=percent, k=k).collect()) == sorted(brute(rows, percent))
+
+
+def test_narrow_sketches_are_refused(docs):
+    assert needed_values(75) == 27
+    with pytest.raises(ValueError):
+        near_duplicates(docs([]), percent=10, k=16)
+
+
+def test_repeated_rows_repeat_no_work(docs):
+    rows = corpus(3)[:40]
+    df = docs([(i, t, "en", "s") for i, t in rows] * 4)
+    assert sorted(tuple(r) for r in near_duplicates(df).collect()) == sorted(brute(rows) * 4)
