@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._common import BYTE, NULL_ID, bound_batches, byte_slices, drop_table, join_counted, materialize, mix, new_path, raw_bytes, text_binary
+from strandline.llm._common import BYTE, NULL_ID, bound_batches, byte_slices, drop_table, join_counted, materialize, mix, new_path, raw_bytes, text_binary, trimmed
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -313,8 +313,8 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
                     at = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
                     yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(np.minimum(np.diff(np.append(at, len(f))), 2).astype(np.int32))], names=["f", "c"])
 
-    often = materialize(source.select("text").mapInArrow(anchors, "f long, c int").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f"), "suffix-anchors")
-    matched = materialize(source.select(*TEXT, "text").mapInArrow(occurrences, kinds).join(often, "f"), "suffix-reads")
+    often = materialize(source.select("text").mapInArrow(trimmed(anchors), "f long, c int").groupBy("f").agg(F.sum("c").alias("c")).where("c > 1").select("f"), "suffix-anchors")
+    matched = materialize(source.select(*TEXT, "text").mapInArrow(trimmed(occurrences), kinds).join(often, "f"), "suffix-reads")
     drop_table(often)
     del often
 
@@ -344,7 +344,7 @@ def repeated_starts(docs: DataFrame, length: int = 100, gram: int = GRAM, hot_re
             if rows:
                 yield _read_batch(rows)
 
-    reads = source.select(*TEXT, "text").join(by_doc, list(TEXT)).select(*TEXT, "text", "reads").mapInArrow(fetch, "f long, variants long, doc long, th long, tc int, start int, anchor int, bytes binary")
+    reads = source.select(*TEXT, "text").join(by_doc, list(TEXT)).select(*TEXT, "text", "reads").mapInArrow(trimmed(fetch), "f long, variants long, doc long, th long, tc int, start int, anchor int, bytes binary")
     reads = materialize(reads, "suffix-compare")
     volume = reads.where(F.col("variants") <= hot_reads).agg(F.sum(F.length("bytes"))).first()[0] or 0
     collections = max(1, -(-volume // collection))
@@ -440,4 +440,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return source.join(gathered, list(TEXT), "left").select("doc_id", "text", "runs").mapInArrow(cut, kinds)
+    return source.join(gathered, list(TEXT), "left").select("doc_id", "text", "runs").mapInArrow(trimmed(cut), kinds)
