@@ -154,7 +154,25 @@ def hydrophobic_share(peptide: Column | str) -> Column:
     return F.when(F.length(c(peptide)) > 0, hit / F.length(c(peptide)).cast("double"))
 
 
-def hamming(a: Column | str, b: Column | str) -> Column:
-    """Number of differing places of equally long strings."""
-    a, b = c(a), c(b)
-    return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, 1) != F.substring(b, i, 1)))
+def lanes(text: Column | str, length: int) -> list[Column]:
+    """A string of ``length`` symbols as numbers: three code points of 21 bits each in a long."""
+    point = lambda i: F.ascii(F.substring(c(text), i + 1, 1)).cast("long")
+    out = []
+    for at in range(0, length, 3):
+        word = point(at)
+        for k in range(1, min(3, length - at)):
+            word = word.bitwiseOR(F.shiftleft(point(at + k), 21 * k))
+        out.append(word)
+    return out
+
+
+def lane_distance(a: list[Column], b: list[Column]) -> Column:
+    """Number of differing places of two strings given as ``lanes``."""
+    low, high = (sum(m << 21 * k for k in range(3)) for m in ((1 << 20) - 1, 1 << 20))
+    total = F.lit(0)
+    for x, y in zip(a, b):
+        differs = x.bitwiseXOR(y)
+        # adding all ones below a lane's highest bit carries into it unless the lane is 0
+        marked = (differs.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(differs)
+        total = total + F.bit_count(marked.bitwiseAND(F.lit(high)))
+    return total.cast("int")

@@ -210,9 +210,10 @@ def screen_dimensions(df: DataFrame, window: str = "window", label: str = "y", f
     return by_row.groupBy("dim").applyInPandas(run, "dim int, auc double, auc_disc double")
 
 
-def classifier_two_sample(spark: SparkSession, df: DataFrame, folds: int = 3, permutations: int = 10) -> DataFrame:
+def classifier_two_sample(spark: SparkSession, df: DataFrame, folds: int = 3, permutations: int = 200) -> DataFrame:
     """Balanced accuracy of telling two sides apart, out of fold, and its permutation p.
-    Replicates are groups: each task fits one small model on the sums of its rows."""
+    Replicates are groups: each task holds all vectors once and fits one small model, so the
+    table has to fit a task."""
     reps = df.select("vec_id", "embedding", "side", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("rep"))
 
     def run(pdf):

@@ -124,6 +124,57 @@ def validate_positions(df: DataFrame, seq: str = "sequence", peptide: str = "pep
     return out.withColumn("new_start", F.when(fixed, found).otherwise(F.col(start))).withColumn("new_stop", F.when(fixed, found + F.length(peptide) - 1).otherwise(F.col(stop))).withColumn("shift", F.when(fixed, found - F.col(start)))
 
 
+def cut_windows(df: DataFrame, seq: str, width: int, step: int, flank: int) -> DataFrame:
+    """Windows of ``width`` at every ``step``-th place (from 1) with the symbols up to ``flank`` before and after
+    them: start, stop, peptide, raw_n, raw_c. They are cut from blocks of ``step`` symbols in one
+    pass over the sequence, which needn't be carried along with its windows."""
+    if width + flank > step:
+        raise ValueError("a window and its right flank must fit a step")
+    blocks = df.withColumn("_blocks", F.expr(f"regexp_extract_all({seq}, '.{{1,{step}}}', 0)"))
+    cut = F.transform(
+        "_blocks",
+        lambda x, i: F.struct(
+            (i * step + 1).alias("start"),
+            (i * step + width).alias("stop"),
+            F.substring(x, 1, width).alias("peptide"),
+            F.when(i > 0, F.right(F.get("_blocks", i - 1), F.lit(flank))).otherwise("").alias("raw_n"),
+            F.substring(x, width + 1, flank).alias("raw_c"),
+        ),
+    )
+    each = blocks.withColumn("_w", F.explode(cut)).where(F.length("_w.peptide") == width)
+    return each.select("*", "_w.*").drop("_w", "_blocks")
+
+
+def kmers(df: DataFrame, seq: str, shortest: int = 8, longest: int = 14, block: int = 64) -> DataFrame:
+    """All substrings of the lengths, a row each: start, n, kmer beside the other columns. They are
+    cut from blocks with the symbols that follow, so a long sequence is passed over once."""
+    blocks = df.withColumn("_blocks", F.expr(f"regexp_extract_all({seq}, '.{{1,{block}}}', 0)")).drop(seq)
+    piece = F.transform("_blocks", lambda x, i: F.struct((i * block).alias("at"), F.length(x).alias("own"), F.concat(x, F.coalesce(F.substring(F.get("_blocks", i + 1), 1, longest - 1), F.lit(""))).alias("x")))
+    pieces = blocks.withColumn("_p", F.explode(piece)).drop("_blocks")
+    spot = pieces.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_p.own")))).withColumn("n", F.explode(F.sequence(F.lit(shortest), F.lit(longest))))
+    out = spot.where(F.col("_i") + F.col("n") - 1 <= F.length("_p.x"))
+    return out.withColumns({"start": F.col("_p.at") + F.col("_i"), "kmer": F.substring(F.col("_p.x"), F.col("_i"), F.col("n"))}).drop("_p", "_i")
+
+
+def complete_flanks(df: DataFrame, size: int, length: str = "len", start: str = "start", stop: str = "stop") -> DataFrame:
+    """Padded flanks, their real lengths, the window and relative distances, from raw_n, peptide, raw_c."""
+    from strandline.functions import sequence as S
+
+    whole = F.col(length).cast("double")
+    left, right = S.pad_left(F.col("raw_n"), size), S.pad_right(F.col("raw_c"), size)
+    return df.withColumns(
+        {
+            "n_real": F.length("raw_n"),
+            "c_real": F.length("raw_c"),
+            "n_flank": left,
+            "c_flank": right,
+            "context": F.concat(left, F.col("peptide"), right),
+            "rel_n": (F.col(start) - 1) / whole,
+            "rel_c": (whole - F.col(stop)) / whole,
+        }
+    )
+
+
 def add_flanks(df: DataFrame, size: int = 5, seq: str = "sequence", start: str = "start", stop: str = "stop") -> DataFrame:
     """Raw and padded flanks, their real lengths, the window and relative distances."""
     from strandline.functions import sequence as S

@@ -1,7 +1,8 @@
 """Rank statistics, effect sizes, tests, corrections and metrics as DataFrame aggregates.
 
 Ranks over all rows are worked out on the distinct values: a count for each value, then
-running sums over the values. Where even these are many, ``value_counts`` runs by ranges.
+running sums over the values. Without groups these sums are worked out by one task over the
+distinct scores (not the rows): scores rounded to a fixed number of places bound it.
 """
 
 from __future__ import annotations
@@ -59,26 +60,28 @@ def two_sample(df: DataFrame, value: str, group: str, by: list[str] | None = Non
     )
 
 
-def delong_components(df: DataFrame, scores: list[str], label: str, row: str = "row_id") -> DataFrame:
-    """For each row and score its placement among the other class."""
-    out = df
+def delong_components(df: DataFrame, scores: list[str], label: str, by: list[str] | None = None) -> DataFrame:
+    """For each row and score its placement among the other class, by group."""
+    out, by = df, by or []
+    classes = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
     for s in scores:
-        t = value_counts(df, s, label)
-        n1, n0 = t.agg(F.sum("p"), F.sum("n")).first()
-        ahead = (F.col("n_below") + F.col("n") / 2) / float(n0 or 1)
-        behind = (n1 - F.col("p_below") - F.col("p") / 2) / float(n1 or 1)
-        t = t.select(F.col("v").alias("_v"), ahead.alias("_ahead"), behind.alias("_behind"))
-        out = out.join(t, F.col(s) == F.col("_v")).withColumn(f"v_{s}", F.when(F.col(label) == 1, F.col("_ahead")).otherwise(F.col("_behind"))).drop("_v", "_ahead", "_behind")
+        t = value_counts(df, s, label, by)
+        t = t.join(classes, by) if by else t.withColumns({c: F.lit(n) for c, n in classes.first().asDict().items()})
+        ahead = F.try_divide(F.col("n_below") + F.col("n") / 2, F.col("_n0").cast("double"))
+        behind = F.try_divide(F.col("_n1") - F.col("p_below") - F.col("p") / 2, F.col("_n1").cast("double"))
+        t = t.select(*by, F.col("v").alias(s), ahead.alias("_ahead"), behind.alias("_behind"))
+        out = out.join(t, [*by, s]).withColumn(f"v_{s}", F.when(F.col(label) == 1, F.col("_ahead")).otherwise(F.col("_behind"))).drop("_ahead", "_behind")
     return out
 
 
-def delong(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """Paired comparison of two areas: both, their difference, its variance and z."""
-    v = delong_components(df.select("row_id", a, b, label), [a, b], label)
-    g = v.groupBy(F.col(label).alias("y")).agg(
+def delong(df: DataFrame, a: str, b: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Paired comparison of two areas by group: both, their difference, its variance and z."""
+    by = by or []
+    v = delong_components(df.select(*by, a, b, label), [a, b], label, by)
+    g = v.groupBy(*by, F.col(label).alias("y")).agg(
         F.avg(f"v_{a}").alias("auc_a"), F.avg(f"v_{b}").alias("auc_b"), F.var_samp(f"v_{a}").alias("va"), F.var_samp(f"v_{b}").alias("vb"), F.covar_samp(f"v_{a}", f"v_{b}").alias("cv"), F.count("*").alias("n")
     )
-    out = g.agg(
+    out = g.groupBy(*by).agg(
         F.max(F.when(F.col("y") == 1, F.col("auc_a"))).alias("auc_a"),
         F.max(F.when(F.col("y") == 1, F.col("auc_b"))).alias("auc_b"),
         F.sum((F.col("va") + F.col("vb") - 2 * F.col("cv")) / F.col("n")).alias("variance"),
@@ -288,25 +291,6 @@ def kabsch_rmsd(a: np.ndarray, b: np.ndarray) -> float:
     return float(math.sqrt(max(0.0, ((a * a).sum() + (b * b).sum() - 2 * s.sum()) / len(a))))
 
 
-def roc_points(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(-p, kind="stable")
-    y, p = y[order], p[order]
-    last = np.append(p[1:] != p[:-1], True)
-    tp, fp = np.cumsum(y == 1)[last], np.cumsum(y == 0)[last]
-    return np.append(0, fp) / max(fp[-1], 1), np.append(0, tp) / max(tp[-1], 1)
-
-
-def roc_crossings(y: np.ndarray, pa: np.ndarray, pb: np.ndarray, amplitude: float = 0.01, points: int = 1001) -> dict:
-    """Where one ROC curve passes the other, counted where both sides differ by the amplitude."""
-    grid = np.linspace(0, 1, points)
-    gap = np.interp(grid, *roc_points(y, pa)) - np.interp(grid, *roc_points(y, pb))
-    inner = (grid > 0.01) & (grid < 0.99)
-    g, d = grid[inner], gap[inner]
-    wide = np.flatnonzero(np.abs(d) >= amplitude)
-    flips = [float(g[i] + abs(d[i]) / (abs(d[i]) + abs(d[j])) * (g[j] - g[i])) for i, j in zip(wide[:-1], wide[1:]) if (d[i] > 0) != (d[j] > 0)]
-    return {"crossings": len(flips), "at": flips, "max_gap": float(np.abs(d).max(initial=0)), "verdict": "crossing" if flips else "clean" if len(wide) else "near_identical"}
-
-
 def early_stop(curve: list[float], patience: int = 50) -> int:
     """Index of the best value before ``patience`` rounds pass without a better one."""
     best = 0

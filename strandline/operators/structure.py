@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,80 +15,64 @@ REGIONS = ("peptide", "nflank", "cflank")
 FEATURES = [f"q8point_{s}_{r}" for r in REGIONS for s in STATES] + [f"q8trans_{s}_{t}" for t in ("n_pep", "pep_c") for s in STATES]
 
 
-def runs(values: str | list) -> list[tuple]:
-    """(value, first, last, length), 1-based."""
-    out, start = [], 0
-    for i in range(1, len(values) + 1):
-        if i == len(values) or values[i] != values[start]:
-            out.append((values[start], start + 1, i, i - start))
-            start = i
-    return out
-
-
-def fill_block(block: np.ndarray, rows: int, side: str, fallback: np.ndarray | None) -> np.ndarray | None:
-    """A region brought to ``rows`` positions by repeating its edge on one side."""
-    if not len(block):
-        return None if fallback is None else np.repeat(fallback[None], rows, axis=0)
-    if len(block) >= rows:
-        return block[:rows]
-    edge = np.repeat(block[:1] if side == "left" else block[-1:], rows - len(block), axis=0)
-    return np.vstack([edge, block] if side == "left" else [block, edge])
-
-
-def accepted_runs(p: np.ndarray, rescue: float = RESCUE) -> list[tuple[str, int, int]]:
-    """Runs of the likeliest state that are long enough, and those one short that a likely
-    neighbour completes: the most demanding states first, each state and place once."""
-    found = runs([STATES[i] for i in p.argmax(axis=1)])
-    good = [(s, a, b) for s, a, b, n in found if n >= LEAST_RUN[s]]
-    settled = {s for s, _, _ in good}
-    offers = []
-    for s, a, b, n in found:
-        if n != LEAST_RUN[s] - 1 or s in settled:
-            continue
-        for place, first, last in ((a - 1, a - 1, b), (b + 1, a, b + 1)):
-            if 1 <= place <= len(p) and p[place - 1, STATES.index(s)] >= rescue:
-                offers.append((-LEAST_RUN[s], -p[place - 1, STATES.index(s)], len(offers), s, place, first, last))
-    taken: set = set()
-    for _, _, _, s, place, first, last in sorted(offers):
-        if s not in taken and place not in taken:
-            taken |= {s, place}
-            good.append((s, first, last))
-    return good
-
-
-def features(p: np.ndarray, n_flank: int, peptide: int) -> list[int]:
-    """The 40 flags in the order of FEATURES."""
-    edge, end = n_flank, n_flank + peptide
-    flags = dict.fromkeys(FEATURES, 0)
-    for s, a, b in accepted_runs(p):
-        inside = [r for r, lo, hi in (("nflank", 1, edge), ("peptide", edge + 1, end), ("cflank", end + 1, len(p))) if a <= hi and b >= lo]
-        for r in inside:
-            flags[f"q8point_{s}_{r}"] = 1
-        if "peptide" in inside and "nflank" in inside:
-            flags[f"q8trans_{s}_n_pep"] = 1
-        if "peptide" in inside and "cflank" in inside:
-            flags[f"q8trans_{s}_pep_c"] = 1
-    return [flags[k] for k in FEATURES]
-
-
-def window_features(n: np.ndarray, pep: np.ndarray, c: np.ndarray, flank: int) -> list[int] | None:
-    """Flanks are completed first: with their own edge, or the peptide's next position."""
-    if not len(pep):
-        return None
-    left, right = fill_block(n, flank, "left", pep[0]), fill_block(c, flank, "right", pep[-1])
-    return features(np.vstack([left, pep, right]), flank, len(pep))
+def _padded(block: str, edge: Column, size: int, left: bool) -> Column:
+    """A region brought to ``size`` positions by repeating its outer end, or ``edge`` where it is empty."""
+    own = F.coalesce(F.col(block), F.array().cast("array<array<double>>"))
+    end = F.get(own, F.lit(0)) if left else F.get(own, F.size(own) - 1)
+    more = F.array_repeat(F.coalesce(end, edge), F.greatest(F.lit(0), size - F.size(own)))
+    return F.concat(more, F.slice(own, 1, size)) if left else F.concat(F.slice(own, 1, size), more)
 
 
-def with_features(df: DataFrame, n: str, peptide: str, c: str, flank: int) -> DataFrame:
-    """The flags as columns, from arrays of probability rows; null without a peptide region."""
+def accepted_runs(states: Column, runs: Column, probabilities: Column, rescue: float = RESCUE) -> Column:
+    """Runs (value, first, last) that hold: those of the least length, and those one short that a
+    neighbouring place completes whose probability of the state reaches ``rescue``.
+
+    Only states without a run of their own are completed, each once, and a place completes one
+    run. Offers are ranked by the length that the state demands, then the probability, then from
+    left to right; an offer is taken unless one taken before it has its state or its place.
+    """
+    demand = F.create_map(*[F.lit(x) for s, n in LEAST_RUN.items() for x in (s, n)])
+    holds = F.filter(runs, lambda r: r["length"] >= demand[r["value"]])
+    short = F.filter(runs, lambda r: (r["length"] == demand[r["value"]] - 1) & ~F.exists(holds, lambda h: h["value"] == r["value"]))
+
+    def offer(r: Column, place: Column, side: int) -> Column:
+        chance = F.get(F.get(probabilities, place - 1), F.array_position(states, r["value"]).cast("int") - 1)
+        return F.struct((-demand[r["value"]]).alias("rank"), (-chance).alias("unlikely"), r["first"].alias("at"), F.lit(side).alias("side"), place.alias("place"), r["value"].alias("value"), F.least(place, r["first"]).alias("first"), F.greatest(place, r["last"]).alias("last"))
 
-    @F.pandas_udf("array<int>")
-    def run(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
-        rows = lambda x: np.stack(x).astype(float) if x is not None and len(x) else np.zeros((0, 8))
-        return pd.Series([window_features(rows(x), rows(y), rows(z), flank) for x, y, z in zip(a, b, d)])
+    offers = F.flatten(F.transform(short, lambda r: F.array(offer(r, r["first"] - 1, 0), offer(r, r["last"] + 1, 1))))
+    offers = F.array_sort(F.filter(offers, lambda o: -o["unlikely"] >= rescue))
+    none = F.slice(offers, 1, 0)
+    taken = F.aggregate(offers, none, lambda had, o: F.when(F.exists(had, lambda x: (x["value"] == o["value"]) | (x["place"] == o["place"])), had).otherwise(F.concat(had, F.array(o))))
+    plain = lambda rs: F.transform(rs, lambda r: F.struct(r["value"].alias("value"), r["first"].alias("first"), r["last"].alias("last")))
+    return F.concat(plain(holds), plain(taken))
 
-    out = df.withColumn("_q8", run(n, peptide, c))
-    return out.withColumns({k: F.element_at("_q8", i + 1) for i, k in enumerate(FEATURES)}).drop("_q8")
+
+def with_accepted(df: DataFrame, probabilities: str, out: str) -> DataFrame:
+    """``accepted_runs`` of a column of probability rows by position."""
+    states = F.array(*[F.lit(s) for s in STATES])
+    likeliest = F.array_join(F.transform(probabilities, lambda x: F.element_at(states, F.array_position(x, F.array_max(x)).cast("int"))), "")
+    # each step is a column of its own: within a function an expression would be worked out anew for each element
+    df = df.withColumn("_states", likeliest).withColumn("_runs", run_table("_states"))
+    held = F.when(F.col(probabilities).isNotNull(), accepted_runs(states, F.col("_runs"), F.col(probabilities)))
+    return df.withColumn(out, held).drop("_states", "_runs")
+
+
+def with_features(df: DataFrame, n: str, peptide: str, c: str, flank: int) -> DataFrame:
+    """The flags as columns, from arrays of probability rows of the three regions; null without a
+    peptide region. Flanks are completed first: with their own edge, or the peptide's next position."""
+    first, last = F.get(peptide, F.lit(0)), F.get(peptide, F.size(peptide) - 1)
+    whole = F.concat(_padded(n, first, flank, True), F.col(peptide), _padded(c, last, flank, False))
+    df = df.withColumn("_all", F.when(F.size(peptide) > 0, whole)).withColumn("_end", F.size(peptide) + flank)
+    df = with_accepted(df, "_all", "_held")
+    limits = {"nflank": (F.lit(1), F.lit(flank)), "peptide": (F.lit(flank + 1), F.col("_end")), "cflank": (F.col("_end") + 1, F.col("_end") + flank)}
+
+    def flag(state: str, *regions: str) -> Column:
+        """Whether a run of the state meets all of the regions."""
+        meets = lambda r: reduce(lambda x, y: x & y, [(r["first"] <= limits[g][1]) & (r["last"] >= limits[g][0]) for g in regions])
+        return F.exists("_held", lambda r: (r["value"] == state) & meets(r)).cast("int")
+
+    flags = [flag(s, r) for r in REGIONS for s in STATES] + [flag(s, "peptide", g) for g in ("nflank", "cflank") for s in STATES]
+    return df.withColumns(dict(zip(FEATURES, flags))).drop("_all", "_end", "_held")
 
 
 def run_table(text: Column | str) -> Column:

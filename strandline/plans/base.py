@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.rows import add_flanks
+from strandline.operators.rows import complete_flanks, cut_windows
 
 FLANK = 5
 
@@ -19,32 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence")).where(F.length("sequence") >= 60).withColumn("len", F.length("sequence"))
+    return docs.select("doc_id", "lang", "source", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence")).withColumn("len", F.length("sequence"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, sf_dir).where("len >= 60")
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
-    rows = proteins(spark, sf_dir).join(labels, "doc_id").withColumn("start", F.explode(F.expr("sequence(1, len - 8, 40)")))
-    return rows.select(
-        (F.col("doc_id") * 1000000 + F.col("start")).alias("row_id"),
-        "doc_id",
-        "lang",
-        "source",
-        "sequence",
-        "len",
-        "start",
-        (F.col("start") + 8).alias("stop"),
-        F.expr("substring(sequence, start, 9)").alias("peptide"),
-        "label",
-        "toxic",
-        ((F.col("doc_id") * 7919 + F.col("start") * 31) % 2000 / F.lit(1000.0)).alias("rank"),
-    )
+    # a filter on the length would be pushed below and work out the letters once more
+    rows = _letters(spark, sf_dir).withColumn("used", F.expr("if(len >= 60, sequence, '')")).join(labels, "doc_id")
+    each = cut_windows(rows, "used", 9, 40, FLANK)
+    rank = (F.col("doc_id") * 7919 + F.col("start") * 31) % 2000 / F.lit(1000.0)
+    return each.select((F.col("doc_id") * 1000000 + F.col("start")).alias("row_id"), "doc_id", "lang", "source", "sequence", "len", "start", "stop", "peptide", "label", "toxic", rank.alias("rank"), "raw_n", "raw_c")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir).drop("raw_n", "raw_c")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_flanks(observations(spark, sf_dir), FLANK)
+    return complete_flanks(_cut(spark, sf_dir), FLANK).drop("raw_n", "raw_c")
 
 
 PROT = """prot AS (SELECT doc_id, lang, source, sequence, length(sequence)::INT AS len FROM

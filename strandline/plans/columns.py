@@ -191,10 +191,13 @@ def items(spark, sf):
     return b.select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence")).withColumn("len", F.length("sequence"))
 
 
-@query(f"""WITH {_ITEMS}, s AS (SELECT item_id, sequence, len, unnest(range(1, len + 1)) AS start FROM items), k AS (SELECT *, unnest(range(8, 15)) AS n FROM s)
-SELECT item_id, start::INT AS start, (start + n - 1)::INT AS stop, substr(sequence, start, n) AS kmer FROM k WHERE start + n - 1 <= len""")
+@query(f"""WITH {PROT}, s AS (SELECT doc_id, sequence, len, unnest(range(1, len + 1)) AS start FROM prot), k AS (SELECT *, unnest(range(8, 15)) AS n FROM s), m AS (SELECT doc_id, n, start, substr(sequence, start, n) AS kmer FROM k WHERE start + n - 1 <= len)
+SELECT doc_id, n::INT AS n, count(*) AS kmers, count(DISTINCT kmer) AS kinds, min(kmer) AS first_kmer, max(kmer) AS last_kmer, max(start)::INT AS last_start FROM m GROUP BY 1, 2""")
 def p31_kmers(spark, sf):
-    return items(spark, sf).select("item_id", F.explode(S.kmers("sequence")).alias("k")).select("item_id", "k.start", "k.stop", "k.kmer")
+    """All k-mers of all proteins, counted by protein and length."""
+    k = R.kmers(proteins(spark, sf).select("doc_id", "sequence"), "sequence")
+    each = k.groupBy("doc_id", "n", "kmer").agg(F.count("*").alias("c"), F.max("start").alias("s"))
+    return each.groupBy("doc_id", "n").agg(F.sum("c").alias("kmers"), F.count("*").alias("kinds"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer"), F.max("s").alias("last_start"))
 
 
 @query(f"WITH {PROT} SELECT doc_id, start::INT AS start, length(substr(sequence, start + 1, 1000))::INT AS size FROM (SELECT *, unnest(range(0, len, 900)) AS start FROM prot)")
@@ -202,13 +205,16 @@ def p32_chunks(spark, sf):
     return proteins(spark, sf).select("doc_id", "sequence", F.explode(S.chunks("len")).alias("start")).select("doc_id", "start", F.length(F.expr("substring(sequence, start + 1, 1000)")).alias("size"))
 
 
-@query(f"""WITH {_ITEMS}, c AS (SELECT item_id, len, unnest(range(0, len, 90)) AS start FROM items),
-p AS (SELECT item_id, pos, ((pos * 31 + start) % 997) AS v FROM (SELECT item_id, start, unnest(range(start, least(start + 100, len))) AS pos FROM c))
-SELECT item_id, pos::INT AS pos, max(v)::INT AS best, count(*)::BIGINT AS coverage FROM p GROUP BY 1, 2""")
+@query(f"""WITH {PROT}, c AS (SELECT doc_id, len, unnest(range(0, len, 900)) AS start FROM prot),
+p AS (SELECT doc_id, pos, ((pos * 31 + start) % 997) AS v FROM (SELECT doc_id, start, unnest(range(start, least(start + 1000, len))) AS pos FROM c)),
+b AS (SELECT doc_id, pos, max(v) AS best, count(*) AS coverage FROM p GROUP BY 1, 2)
+SELECT doc_id, count(*) AS places, sum(best)::BIGINT AS total, sum(coverage)::BIGINT AS covered, max(coverage)::BIGINT AS most FROM b GROUP BY 1""")
 def p33_s15_stitch(spark, sf):
-    c = items(spark, sf).select("item_id", "len", F.explode(S.chunks("len", 100, 90)).alias("start"))
-    p = c.select("item_id", "start", F.explode(F.expr("sequence(start, least(start + 100, len) - 1)")).alias("pos"))
-    return p.withColumn("v", (F.col("pos") * 31 + F.col("start")) % 997).groupBy("item_id", "pos").agg(F.max("v").alias("best"), F.count("*").alias("coverage"))
+    """Scores of chunks of 1000 symbols every 900, stitched by place; summed by protein."""
+    c = proteins(spark, sf).select("doc_id", "len", F.explode(S.chunks("len", 1000, 900)).alias("start"))
+    p = c.select("doc_id", "start", F.explode(F.expr("sequence(start, least(start + 1000, len) - 1)")).alias("pos"))
+    each = p.withColumn("v", (F.col("pos") * 31 + F.col("start")) % 997).groupBy("doc_id", "pos").agg(F.max("v").alias("best"), F.count("*").alias("coverage"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("places"), F.sum("best").alias("total"), F.sum("coverage").alias("covered"), F.max("coverage").alias("most"))
 
 
 @query(f"""WITH {OBS}, pos AS (SELECT row_id, start, stop, unnest(range(start, stop + 1)) AS p FROM obs),

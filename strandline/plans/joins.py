@@ -168,7 +168,7 @@ def j21_pair_census(spark, sf):
 SELECT a.n_flank, a.row_id AS row_a, b.row_id AS row_b, hamming(a.peptide, b.peptide)::INT AS distance FROM f a JOIN f b ON a.n_flank = b.n_flank AND a.row_id < b.row_id AND a.fold <> b.fold""")
 def j22_pairs_in_group(spark, sf):
     w = windows(spark, sf).where("n_flank <> 'XXXXX'").withColumn("fold", (F.col("doc_id") % 6).cast("int"))
-    return H.pairs_in_group(w, "n_flank", "peptide").select("n_flank", "row_a", "row_b", "distance")
+    return H.pairs_in_group(w, "n_flank", "peptide", 9).select("n_flank", "row_a", "row_b", "distance")
 
 
 @query(f"""WITH {OBS}, s AS (SELECT row_id, peptide, doc_id % 2 AS side FROM obs)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.operators import sampling
 from strandline.operators import statistics as X
+from strandline.operators.curves import compare_rocs
 from strandline.plans.base import OBS, observations, table
 from strandline.plans.registry import query
+from strandline.storage import table_of
 
 _SCORES = """sc AS (SELECT event_id AS row_id, event_type, user_id, (event_type = 'purchase')::INT AS y, value, ((event_id * 7919) % 1000) / 1000.0::DOUBLE AS pa,
   (((event_id * 104729) % 1000) / 1000.0::DOUBLE + 0.3::DOUBLE * (event_type = 'purchase')::INT) / 1.3::DOUBLE AS pb, (user_id % 6)::INT AS fold FROM events)"""
@@ -43,12 +45,12 @@ def x01_bin_matched_sample(spark, sf):
     return sampling.bin_matched(o.where("label = 1"), o.where("label = 0")).select("row_id", "bin")
 
 
-@query(f"""WITH {OBS}, s AS (SELECT unnest(range(5, 51, 5))::INT AS n_bins), b AS (SELECT n_bins, label, greatest(1, ceil(rank * n_bins / 2))::INT AS bin FROM obs, s),
+@query(f"""WITH {OBS}, s AS (SELECT unnest(range(5, 51))::INT AS n_bins), b AS (SELECT n_bins, label, greatest(1, ceil(rank * n_bins / 2))::INT AS bin FROM obs, s),
 p AS (SELECT n_bins, bin, count(*) AS pos FROM b WHERE label = 1 GROUP BY 1, 2), c AS (SELECT n_bins, bin, count(*) AS av FROM b WHERE label = 0 GROUP BY 1, 2),
 j AS (SELECT n_bins, bin, pos, coalesce(av, 0) AS available, sum(pos) OVER (PARTITION BY n_bins) AS total FROM p LEFT JOIN c USING (n_bins, bin)), m AS (SELECT *, min(floor(available * total / pos::DOUBLE)) OVER (PARTITION BY n_bins) AS max_n FROM j)
 SELECT n_bins, sum(floor(max_n * pos / total::DOUBLE))::BIGINT AS sampled, arg_min(bin, available * total / pos::DOUBLE * 1000 + bin) AS bottleneck FROM m GROUP BY 1""")
 def x02_bin_sweep(spark, sf):
-    o = observations(spark, sf).select("label", "rank", F.explode(F.sequence(F.lit(5), F.lit(50), F.lit(5))).alias("n_bins"))
+    o = observations(spark, sf).select("label", "rank", F.explode(F.sequence(F.lit(5), F.lit(50))).alias("n_bins"))
     o = o.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.col("rank") * F.col("n_bins") / 2)).cast("int"))
     p = sampling.plan(o.where("label = 1"), o.where("label = 0"), by=["n_bins"])
     return p.groupBy("n_bins").agg(F.sum("n_sample").alias("sampled"), F.min_by("bin", F.col("available") * F.col("total") / F.col("pos") * 1000 + F.col("bin")).alias("bottleneck"))
@@ -68,7 +70,7 @@ def x03_x04_x05_two_sample(spark, sf):
 
 @query()
 def x06_bootstrap_ks(spark, sf):
-    return X.bootstrap_ks(scores(spark, sf), "value", "y", replicates=40)
+    return X.bootstrap_ks(scores(spark, sf), "value", "y", replicates=1000)
 
 
 @query(f"""WITH {_SCORES}, a AS (SELECT avg(value) FILTER (WHERE y = 1) AS m1, avg(value) FILTER (WHERE y = 0) AS m0, var_samp(value) FILTER (WHERE y = 1) AS v1, var_samp(value) FILTER (WHERE y = 0) AS v0, count(*) FILTER (WHERE y = 1)::DOUBLE AS n1, count(*) FILTER (WHERE y = 0)::DOUBLE AS n0 FROM sc),
@@ -137,7 +139,7 @@ def x15_delong(spark, sf):
 @query()
 def x16_paired_bootstrap(spark, sf):
     """Poisson bootstrap of the difference of two areas, replicates as rows."""
-    s = scores(spark, sf).select("row_id", "y", "pa", "pb", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("rep"))
+    s = scores(spark, sf).select("row_id", "y", "pa", "pb", F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("rep"))
     s = s.withColumn("w", X.poisson_draw(X.uniform("rep", "row_id"))).where("w > 0")
 
     def area(c):
@@ -181,13 +183,28 @@ def x19_average_precision(spark, sf):
     return X.average_precision(scores(spark, sf), "pb", "y", ["fold"]).select("fold", F.round("average_precision", 9).alias("average_precision"))
 
 
-@query()
+_ROC = """, e AS (SELECT m, fold, v, sum(y) AS p, sum(1 - y) AS n FROM (SELECT 'a' AS m, fold, pa AS v, y FROM sc UNION ALL SELECT 'b', fold, pb, y FROM sc) GROUP BY 1, 2, 3),
+t AS (SELECT m, fold, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY m, fold) AS np, sum(n) OVER (PARTITION BY m, fold) AS nn FROM e WINDOW w AS (PARTITION BY m, fold ORDER BY v DESC)),
+q AS (SELECT m, fold, fp, np, nn, min(tp) AS lo, max(tp) AS hi FROM (SELECT * FROM t UNION ALL SELECT DISTINCT m, fold, 0, 0, np, nn FROM t) GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT *, lead(fp) OVER w AS fp2, lead(lo) OVER w AS lo2 FROM q WINDOW w AS (PARTITION BY m, fold ORDER BY fp)),
+g AS (SELECT m, fold, i, (hi + coalesce((lo2 - hi) * (i * nn / 1000.0::DOUBLE - fp) / (fp2 - fp)::DOUBLE, 0)) / np::DOUBLE AS h FROM s JOIN range(11, 990) r(i) ON i * nn >= 1000 * fp AND i * nn < 1000 * coalesce(fp2, 1000000000000)),
+u AS (SELECT m, fold, sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM (SELECT m, fold, p, n, coalesce(sum(n) OVER (PARTITION BY m, fold ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM e) GROUP BY 1, 2),
+d AS (SELECT a.fold, a.i, a.h - b.h AS gap, x.auc - y.auc AS delta FROM g a JOIN g b ON a.m = 'a' AND b.m = 'b' AND a.fold = b.fold AND a.i = b.i JOIN u x ON x.fold = a.fold AND x.m = 'a' JOIN u y ON y.fold = a.fold AND y.m = 'b'),
+f AS (SELECT fold, sum((sign(gap) <> sign(before))::INT) AS crossings FROM (SELECT fold, gap, lag(gap) OVER (PARTITION BY fold ORDER BY i) AS before FROM d WHERE abs(gap) >= 0.002) WHERE before IS NOT NULL GROUP BY 1)
+SELECT d.fold, coalesce(max(f.crossings), 0)::INT AS crossings, round(max(abs(gap)), 9) AS max_gap, CASE WHEN coalesce(max(f.crossings), 0) > 0 THEN 'crossing' WHEN max(abs(gap)) < 0.002 THEN 'near_identical' ELSE 'clean' END AS verdict,
+  round(count(*) FILTER (WHERE abs(gap) >= 0.002 AND delta <> 0 AND sign(gap) <> sign(delta)) / 1000.0::DOUBLE, 4) AS disagree_range, round(coalesce(max(abs(gap)) FILTER (WHERE abs(gap) >= 0.002 AND delta <> 0 AND sign(gap) <> sign(delta)), 0), 9) AS max_flip
+FROM d LEFT JOIN f ON f.fold = d.fold GROUP BY d.fold"""
+
+
+@query(f"WITH {_SCORES}{_ROC}")
 def x20_roc_crossings(spark, sf):
-    def run(pdf):
-        got = X.roc_crossings(pdf["y"].to_numpy(), pdf["pa"].to_numpy(), pdf["pb"].to_numpy())
-        return pd.DataFrame([{"fold": int(pdf["fold"].iloc[0]), "crossings": got["crossings"], "max_gap": got["max_gap"], "verdict": got["verdict"]}])
+    out = compare_rocs(scores(spark, sf), "pa", "pb", "y", ["fold"])
+    return out.select("fold", "crossings", F.round("max_gap", 9).alias("max_gap"), "verdict", "disagree_range", F.round("max_flip", 9).alias("max_flip"))
 
-    return scores(spark, sf).select("fold", "y", "pa", "pb").groupBy("fold").applyInPandas(run, "fold int, crossings int, max_gap double, verdict string")
+
+@query()
+def x20_roc_tiers(spark, sf):
+    return compare_rocs(scores(spark, sf), "pa", "pb", "y", ["fold"])
 
 
 @query(f"WITH {_SCORES} SELECT least(9, floor(pb * 10))::INT AS bin, count(*) AS n, round(avg(pb), 9) AS mean_score, round(avg(y), 9) AS share FROM sc GROUP BY 1")
@@ -212,7 +229,7 @@ def x22_entropy(spark, sf):
 @query()
 def x23_permutation_null(spark, sf):
     o = observations(spark, sf).groupBy(F.col("doc_id").alias("cluster")).agg(F.count("*").alias("n")).withColumn("fold", (F.col("cluster") % 6).cast("int"))
-    return X.permuted_shares(o, "cluster", "n", "fold", 60)
+    return X.permuted_shares(o, "cluster", "n", "fold", 1000)
 
 
 @query()
@@ -222,13 +239,21 @@ def x24_two_sample_classifier(spark, sf):
     return classifier_two_sample(spark, table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 2).cast("int").alias("side")))
 
 
+#: Fewer than the survey's 1000; see the README.
+LOGO_REPLICATES = 200
+
+
 @query()
 def x25_logo_permutation(spark, sf):
-    """Jensen-Shannon divergence by position between labels, against permuted labels of whole rows."""
-    o = observations(spark, sf).select("row_id", "peptide", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("rep"), "label")
-    share = observations(spark, sf).agg(F.avg("label")).first()[0] or 0.5
-    o = o.withColumn("g", F.when(F.col("rep") == 0, F.col("label")).otherwise((X.uniform("rep", "row_id") < share).cast("int")))
-    each = o.select("rep", "g", F.posexplode(F.split("peptide", "")).alias("pos", "aa")).groupBy("rep", "pos", "aa").agg(F.count_if(F.col("g") == 1).alias("n1"), F.count_if(F.col("g") == 0).alias("n0"))
+    """Jensen-Shannon divergence by position between labels, against permuted labels of whole rows:
+    the counts by symbol of one class follow from those of the other and of all rows."""
+    o = observations(spark, sf).select("row_id", "peptide", "label").where("label is not null")
+    o, _ = table_of(o, "logo")
+    drawn = sampling.permuted_ones(o, "label", "row_id", LOGO_REPLICATES).union(o.where("label = 1").select(F.lit(0).alias("rep"), "row_id", "peptide", "label")).select("rep", "peptide")
+    letters = F.posexplode(F.split("peptide", "")).alias("pos", "aa")
+    ones = drawn.select("rep", letters).groupBy("rep", "pos", "aa").agg(F.count("*").alias("n1"))
+    whole = o.select(letters).groupBy("pos", "aa").agg(F.count("*").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(LOGO_REPLICATES))))
+    each = whole.join(ones, ["rep", "pos", "aa"], "left").select("rep", "pos", "aa", F.coalesce("n1", F.lit(0)).alias("n1"), (F.col("n") - F.coalesce("n1", F.lit(0))).alias("n0"))
     w = Window.partitionBy("rep", "pos")
     p, q = F.col("n1") / F.sum("n1").over(w), F.col("n0") / F.sum("n0").over(w)
     m = (p + q) / 2

@@ -22,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path there, removed when the driver ends."""
+    """A fresh path there, in a folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)  # only what exists is noted for removal
+    system.deleteOnExit(hadoop)
+    return f"{path}/data"
 
 
 def remove(spark: SparkSession, path: str) -> None:

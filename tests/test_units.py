@@ -12,6 +12,7 @@ from strandline.operators import rows as R
 from strandline.operators import sampling, structure, tensors
 from strandline.operators import statistics as X
 from strandline.operators.alignment import gotoh, read_matrix
+from strandline.operators.curves import compare_rocs
 from strandline.operators.modelling import Component, FeatureSet, classify_feature, rebuild_out_of_fold
 
 SEQ = "MKTAYIAKQRQISFVKSHFSRQ"
@@ -122,8 +123,6 @@ def test_small_distributions():
     turn = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
     assert X.kabsch_rmsd(a, a @ turn + 5) == pytest.approx(0, abs=1e-6)
     assert X.early_stop([1, 2, 3, 2, 2, 2, 9], 3) == 2
-    y = np.array([1, 1, 0, 0, 1, 0])
-    assert X.roc_crossings(y, y.astype(float), y.astype(float))["verdict"] == "near_identical"
 
 
 @pytest.mark.parametrize("d", range(1, 8))
@@ -175,27 +174,96 @@ def test_regions_and_pools(spark):
 
 
 def probabilities(text):
-    return np.array([[1.0 if s == c else 0.0 for s in structure.STATES] for c in text])
+    return [[1.0 if s == c else 0.0 for s in structure.STATES] for c in text]
 
 
-def test_structure_flags():
-    text = "CCCHHHHHHHHHEEEECCC"
-    got = dict(zip(structure.FEATURES, structure.features(probabilities(text), 5, 9)))
-    on = {k for k, v in got.items() if v}
+def regions(spark, rows, size):
+    """Probability rows split into flanks of ``size`` and the peptide between."""
+    data = [(i, p[:size], p[size : len(p) - size], p[len(p) - size :]) for i, p in enumerate(rows)]
+    return spark.createDataFrame(data, "i int, n array<array<double>>, pep array<array<double>>, c array<array<double>>")
+
+
+def test_structure_flags(spark):
+    df = regions(spark, [probabilities("CCCHHHHHHHHHEEEECCC")], 5)
+    got = structure.with_features(df, "n", "pep", "c", 5).first().asDict()
+    on = {k for k in structure.FEATURES if got[k]}
     assert on == {"q8point_C_nflank", "q8point_H_nflank", "q8point_H_peptide", "q8point_E_peptide", "q8point_E_cflank", "q8point_C_cflank", "q8trans_H_n_pep", "q8trans_E_pep_c"}
 
 
-def test_structure_rescue():
-    for likely, runs in ((0.45, 1), (0.39, 0)):
+def test_structure_rescue(spark):
+    rows = []
+    for likely in (0.45, 0.39):
         p = probabilities("CCHHHCC")
-        p[1] = 0
-        p[1, structure.STATES.index("H")], p[1, structure.STATES.index("C")] = likely, 1 - likely
-        assert sum(s == "H" for s, _, _ in structure.accepted_runs(p)) == runs
+        p[1] = [0.0] * 8
+        p[1][structure.STATES.index("H")], p[1][structure.STATES.index("C")] = likely, 1 - likely
+        rows.append((len(rows), p))
+    df = spark.createDataFrame(rows, "i int, p array<array<double>>")
+    held = {r.i: [tuple(x) for x in r.held] for r in structure.with_accepted(df, "p", "held").collect()}
+    assert ("H", 2, 5) in held[0] and not any(v == "H" for v, _, _ in held[1])
+
+
+def test_structure_against_brute_force(spark):
+    """Offers are weighed one by one here: the most demanding, then the likeliest, then the leftmost."""
+    rng = np.random.default_rng(8)
+    rows = [rng.dirichlet([0.4] * 8, 12).round(3).tolist() for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, p array<array<double>>")
+    for r in structure.with_accepted(df, "p", "held").collect():
+        p = np.array(rows[r.i])
+        text = "".join(structure.STATES[k] for k in p.argmax(axis=1)) + "|"
+        runs, at = [], 0
+        for k in range(1, len(text)):
+            if text[k] != text[at]:
+                runs.append((text[at], at + 1, k))
+                at = k
+        want = [x for x in runs if x[2] - x[1] + 1 >= structure.LEAST_RUN[x[0]]]
+        own = {x[0] for x in want}
+        open_ = [(s, a, b, q) for s, a, b in runs if s not in own and b - a + 2 == structure.LEAST_RUN[s] for q in (a - 1, b + 1) if 1 <= q <= 12 and p[q - 1, structure.STATES.index(s)] >= structure.RESCUE]
+        while open_:
+            best = max(open_, key=lambda o: (structure.LEAST_RUN[o[0]], p[o[3] - 1, structure.STATES.index(o[0])], -o[1], -o[3]))
+            want.append((best[0], min(best[1], best[3]), max(best[2], best[3])))
+            open_ = [o for o in open_ if o[0] != best[0] and o[3] != best[3]]
+        assert [tuple(x) for x in r.held] == want
+
+
+def test_features_complete_the_flanks(spark):
+    p = probabilities("HHHHHHHHH")
+    data = [(0, [], p, p[:2]), (1, p[:1], [], p[:1])]
+    got = structure.with_features(spark.createDataFrame(data, "i int, n array<array<double>>, pep array<array<double>>, c array<array<double>>"), "n", "pep", "c", 5).orderBy("i").collect()
+    assert got[0].q8trans_H_n_pep == 1 and got[0].q8trans_H_pep_c == 1 and got[1].q8point_H_peptide is None
 
 
 def test_runs(spark):
-    assert structure.runs("HHHCCE") == [("H", 1, 3, 3), ("C", 4, 5, 2), ("E", 6, 6, 1)]
-    assert [tuple(r) for r in one(spark, structure.run_table("s"), s="HHHCCE")] == structure.runs("HHHCCE")
+    assert [tuple(r) for r in one(spark, structure.run_table("s"), s="HHHCCE")] == [("H", 1, 3, 3), ("C", 4, 5, 2), ("E", 6, 6, 1)]
+
+
+def plain_gap(y, a, b, steps=1000):
+    def heights(s):
+        spots = [(0.0, 0.0)] + [(sum(y[s >= t] == 0) / sum(y == 0), sum(y[s >= t] == 1) / sum(y == 1)) for t in sorted(set(s), reverse=True)]
+        return np.interp(np.arange(steps + 1) / steps, *zip(*spots))
+
+    return heights(a) - heights(b)
+
+
+def test_roc_comparison(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(4):
+        y = rng.integers(0, 2, 150)
+        a = np.round(y * rng.normal(0.6, 1, 150) + rng.normal(0, 1, 150), 1)
+        b = a.copy() if g == 0 else np.round(y * 0.5 + rng.normal(0, 1, 150), 1)
+        rows += [(150 * g + i, g, int(y[i]), float(a[i]), float(b[i])) for i in range(150)]
+        gap = plain_gap(y, a, b)
+        inner = [k for k in range(11, 990) if abs(gap[k]) >= 0.002]
+        want[g] = (sum(gap[i] * gap[j] < 0 for i, j in zip(inner, inner[1:])), max(abs(gap[11:990])), gap)
+    df = spark.createDataFrame(rows, "row_id long, g int, y int, a double, b double")
+    got = {r.g: r for r in compare_rocs(df, "a", "b", "y", ["g"]).collect()}
+    for g, (crossings, widest, gap) in want.items():
+        r = got[g]
+        assert r.crossings == crossings == len(r.crossing_at) and r.max_gap == pytest.approx(widest, abs=1e-9)
+        assert r.verdict == ("crossing" if crossings else "near_identical" if widest < 0.002 else "clean")
+        lost = [k for k in range(11, 990) if abs(gap[k]) >= 0.002 and gap[k] * r.delta < 0]
+        assert r.disagree_range == pytest.approx(len(lost) / 1000) and r.max_flip == pytest.approx(max((abs(gap[k]) for k in lost), default=0), abs=1e-9)
+    assert got[0].verdict == "near_identical" and got[0].tier == "clean"
 
 
 def test_alignment():
@@ -235,3 +303,37 @@ def test_stream(spark, tmp_path):
     rows = spark.readStream.schema("sequence string, start int, stop int").parquet(str(tmp_path / "in"))
     stream_windows(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().context == "XXXMKTAYIAKQRQISFVK"
+
+
+def test_kmers_of_long_sequences(spark):
+    text = "".join("ACDEFGHIKLMNPQRSTVWY"[(i * i + 3 * i) % 20] for i in range(150))
+    df = spark.createDataFrame([(1, text), (2, "ABC"), (3, None)], "id int, s string")
+    got = sorted((r.id, r.start, r.n, r.kmer) for r in R.kmers(df, "s", 3, 5, block=16).collect())
+    want = [(i, a + 1, n, t[a : a + n]) for i, t in ((1, text), (2, "ABC")) for a in range(len(t)) for n in (3, 4, 5) if a + n <= len(t)]
+    assert got == sorted(want)
+
+
+def test_permuted_labels_keep_their_number(spark):
+    df = spark.range(300).select(F.col("id").alias("row"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got = sampling.permuted_ones(df, "y", "row", 20, buckets=8).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.rep, set()).add(r.row)
+    assert sorted(by) == list(range(1, 21)) and all(len(s) == 100 for s in by.values()) and len(got) == 2000
+    assert len({frozenset(s) for s in by.values()}) == 20
+    assert sampling.permuted_ones(df.where("y = 0"), "y", "row", 3).count() == 0
+
+
+def test_random_windows_are_as_many_as_asked(spark):
+    assert sampling.random_windows(spark, 60, 2, alphabet="ACDEFGHK").count() == 60
+    with pytest.raises(ValueError):
+        sampling.random_windows(spark, 65, 2, alphabet="ACDEFGHK")
+
+
+def test_windows_cut_in_the_row(spark):
+    text = "".join("ACDEFGHIKLMNPQRSTVWY"[(i * 7 + i // 5) % 20] for i in range(103))
+    df = spark.createDataFrame([(text,), ("ACDEFGHI",), ("",)], "sequence string").withColumn("len", F.length("sequence"))
+    got = sorted(tuple(r) for r in R.complete_flanks(R.cut_windows(df, "sequence", 9, 40, 5), 5).select("start", "peptide", "context", "n_real", "c_real").collect())
+    spots = spark.createDataFrame([(text, s, s + 8) for s in (1, 41, 81)], "sequence string, start int, stop int")
+    want = R.add_flanks(spots, 5).withColumn("peptide", F.expr("substring(sequence, start, 9)")).select("start", "peptide", "context", "n_real", "c_real").collect()
+    assert got == sorted(map(tuple, want))
