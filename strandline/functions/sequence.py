@@ -35,6 +35,29 @@ ATCHLEY = {
     "W": (-0.595, 0.009, 0.672, -2.128, -0.184),
     "Y": (0.260, 0.830, 3.097, -0.838, 1.512),
 }
+#: Ten published factors of each residue (Kidera et al. 1985).
+KIDERA = {
+    "A": (-1.56, -1.67, -0.97, -0.27, -0.93, -0.78, -0.20, -0.08, 0.21, -0.48),
+    "C": (0.12, -0.89, 0.45, -1.05, -0.71, 2.41, 1.52, -0.69, 1.13, 1.10),
+    "D": (0.58, -0.22, -1.58, 0.81, -0.92, 0.15, -1.52, 0.47, 0.76, 0.70),
+    "E": (-1.45, 0.19, -1.61, 1.17, -1.31, 0.40, 0.04, 0.38, -0.35, -0.12),
+    "F": (-0.21, 0.98, -0.36, -1.43, 0.22, -0.81, 0.67, 1.10, 1.71, -0.44),
+    "G": (1.46, -1.96, -0.23, -0.16, 0.10, -0.11, 1.32, 2.36, -1.66, 0.46),
+    "H": (-0.41, 0.52, -0.28, 0.28, 1.61, 1.01, -1.85, 0.47, 1.13, 1.63),
+    "I": (-0.73, -0.16, 1.79, -0.77, -0.54, 0.03, -0.83, 0.51, 0.66, -1.78),
+    "K": (-0.34, 0.82, -0.23, 1.70, 1.54, -1.62, 1.15, -0.08, -0.48, 0.60),
+    "L": (-1.04, 0.00, -0.24, -1.10, -0.55, -2.05, 0.96, -0.76, 0.45, 0.93),
+    "M": (-1.40, 0.18, -0.42, -0.73, 2.00, 1.52, 0.26, 0.11, -1.27, 0.27),
+    "N": (1.14, -0.07, -0.12, 0.81, 0.18, 0.37, -0.09, 1.23, 1.10, -1.73),
+    "P": (2.06, -0.33, -1.15, -0.75, 0.88, -0.45, 0.30, -2.30, 0.74, -0.28),
+    "Q": (-0.47, 0.24, 0.07, 1.10, 1.10, 0.59, 0.84, -0.71, -0.03, -2.33),
+    "R": (0.22, 1.27, 1.37, 1.87, -1.70, 0.46, 0.92, -0.39, 0.23, 0.93),
+    "S": (0.81, -1.08, 0.16, 0.42, -0.21, -0.43, -1.89, -1.15, -0.97, -0.23),
+    "T": (0.26, -0.70, 1.21, 0.63, -0.10, 0.21, 0.24, -1.15, -0.56, 0.19),
+    "V": (-0.74, -0.71, 2.04, -0.40, 0.50, -0.81, -1.07, 0.06, -0.46, 0.65),
+    "W": (0.30, 2.10, -0.72, -1.57, -1.16, 0.57, -0.48, -0.40, -2.30, -0.60),
+    "Y": (1.38, 1.48, 0.80, -0.56, 0.00, -0.68, -0.31, 1.03, -0.05, 0.53),
+}
 
 
 def c(x: Column | str) -> Column:
@@ -142,6 +165,16 @@ def encode(symbol: Column | str, table: dict[str, tuple[float, ...]]) -> Column:
     return F.coalesce(F.try_element_at(rows, c(symbol)), F.array(*[F.lit(0.0)] * width))
 
 
+def encode_all(symbols: Column | str, table: dict[str, tuple[float, ...]]) -> Column:
+    """The rows of a matrix for an array of symbols, one after the other in one array."""
+    return F.flatten(F.transform(c(symbols), lambda s: encode(s, table)))
+
+
+def one_hot_table(alphabet: str = ALPHABET) -> dict[str, tuple[float, ...]]:
+    """P18 as a matrix for ``encode_all``: the identity."""
+    return {a: tuple(float(a == b) for b in alphabet) for a in alphabet}
+
+
 def net_charge(peptide: Column | str) -> Column:
     """P22, null for null or empty text."""
     count = lambda a: F.length(c(peptide)) - F.length(F.replace(c(peptide), F.lit(a), F.lit("")))

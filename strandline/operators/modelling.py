@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.statistics import auc
@@ -56,12 +56,13 @@ class FeatureSet:
         return [a for a in available if a in set(wanted) and a not in metadata]
 
 
-def classify_feature(name: str) -> str:
-    """P27."""
-    if "_pca" in name or name.startswith(("pca", "emb_")):
-        return "embedding_pca"
-    head = name.split("_")[0]
-    return "aa_encoding" if len(head) <= 3 and head[:1] in "NPC" and head[1:].isdigit() or name.startswith("frac_") else "handcrafted"
+def classify_feature(name: str | Column) -> Column:
+    """The kind of a feature, from its name: one symbol at one position of the window; a
+    component of an embedding; all else is handcrafted (shares of symbols included)."""
+    n = F.col(name) if isinstance(name, str) else name
+    position = n.rlike("^([NC][1-9][0-9]*|P[1-9])_[^_]*$")
+    component = n.rlike("^esmc_|^esmif_|PC")
+    return F.when(position, "aa_encoding").when(component, "embedding_pca").otherwise("handcrafted")
 
 
 MODELS = {

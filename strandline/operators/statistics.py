@@ -291,12 +291,71 @@ def kabsch_rmsd(a: np.ndarray, b: np.ndarray) -> float:
     return float(math.sqrt(max(0.0, ((a * a).sum() + (b * b).sum() - 2 * s.sum()) / len(a))))
 
 
-def early_stop(curve: list[float], patience: int = 50) -> int:
-    """Index of the best value before ``patience`` rounds pass without a better one."""
-    best = 0
-    for i, v in enumerate(curve):
-        if v > curve[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best
+def early_stop(curves: DataFrame, curve: str, step: str, value: str, patience: int = 50, maximise: bool = True) -> DataFrame:
+    """For each curve the best round (from 1) so far when ``patience`` rounds have passed
+    without a better one, and the round of the stop (the last one if that never happens).
+    Null values are left out."""
+    w = Window.partitionBy(curve)
+    by_round = w.orderBy("round")
+    best = F.max if maximise else F.min
+    rounds = curves.where(F.col(value).isNotNull()).select(curve, F.col(value).alias("v"), F.row_number().over(w.orderBy(step)).alias("round"))
+    before = best("v").over(by_round.rowsBetween(Window.unboundedPreceding, -1))
+    better = before.isNull() | ((F.col("v") > before) if maximise else (F.col("v") < before))
+    marked = rounds.withColumn("new", F.when(better, F.col("round"))).withColumn("best_round", F.max("new").over(by_round))
+    ends = (F.col("round") - F.col("best_round") >= patience)
+    out = marked.groupBy(curve).agg(F.min(F.when(ends, F.col("round"))).alias("at"), F.max("round").alias("last"), F.max("best_round").alias("late"))
+    return out.select(curve, F.coalesce("at", "last").alias("stop_round"), F.coalesce(F.col("at") - patience, "late").alias("best_round"))
+
+
+def pr_curve(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Precision and recall when all rows of at least each distinct score count as positive."""
+    by = by or []
+    w = Window.partitionBy(*by)
+    t = value_counts(df.where(F.col(score).isNotNull()), score, label, by)
+    tp, fp = F.sum("p").over(w) - F.col("p_below"), F.sum("n").over(w) - F.col("n_below")
+    return t.select(*by, F.col("v").alias("threshold"), F.try_divide(tp, (tp + fp).cast("double")).alias("precision"), F.try_divide(tp, F.sum("p").over(w).cast("double")).alias("recall"))
+
+
+def profile_counts(df: DataFrame, text: str, by: str) -> DataFrame:
+    """Number of rows with each symbol at each position, by group."""
+    return df.select(by, F.posexplode(F.split(text, "")).alias("pos", "aa")).groupBy(by, "pos", "aa").agg(F.count("*").alias("n"))
+
+
+def profile_divergence(counts: DataFrame, by: str, alphabet: str, pseudocount: float = 0.5) -> DataFrame:
+    """Mean over the positions of the entropy, and of the divergence from all groups
+    together (with pseudocounts, bits)."""
+    cells = counts.select(by, "pos").distinct().withColumn("aa", F.explode(F.array(*[F.lit(a) for a in alphabet])))
+    full = cells.join(counts, [by, "pos", "aa"], "left").na.fill(0, ["n"])
+    both, whole = Window.partitionBy(by, "pos"), Window.partitionBy("pos", "aa")
+    full = full.withColumns({"rows": F.sum("n").over(both), "all_n": F.sum("n").over(whole)}).withColumn("all_rows", F.sum("all_n").over(both))
+    p, size = F.col("n") / F.col("rows"), pseudocount * len(alphabet)
+    ps, qs = (F.col("n") + pseudocount) / (F.col("rows") + size), (F.col("all_n") + pseudocount) / (F.col("all_rows") + size)
+    each = full.groupBy(by, "pos").agg((-F.sum(F.when(F.col("n") > 0, p * F.log2(p)).otherwise(0.0))).alias("entropy"), F.sum(ps * F.log2(ps / qs)).alias("kl"))
+    return each.groupBy(by).agg(F.avg("entropy").alias("entropy"), F.avg("kl").alias("kl"))
+
+
+def profile_correlation(counts: DataFrame, by: str, cells: int) -> DataFrame:
+    """Pearson correlation of the frequency matrices of each two groups. Absent cells are
+    zeros: they add to no sum, only to the number of ``cells``."""
+    rows = F.sum("n").over(Window.partitionBy(by, "pos"))
+    f = counts.select(by, "pos", "aa", (F.col("n") / rows).alias("f"))
+    sums = f.groupBy(by).agg(F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("q"))
+    a, b = f.withColumnsRenamed({by: "a", "f": "fa"}), f.withColumnsRenamed({by: "b", "f": "fb"})
+    met = a.join(b, ["pos", "aa"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("fa") * F.col("fb")).alias("ab"))
+    left, right = sums.toDF("a", "sa", "qa"), sums.toDF("b", "sb", "qb")
+    spread = lambda s, q: F.col(q) * cells - F.col(s) * F.col(s)
+    pcc = (F.col("ab") * cells - F.col("sa") * F.col("sb")) / F.sqrt(spread("sa", "qa") * spread("sb", "qb"))
+    return met.join(left, "a").join(right, "b").select("a", "b", pcc.alias("pcc"))
+
+
+def linkage_order(names: list, distance: np.ndarray) -> list:
+    """The names in the order of an average-linkage tree, of a few groups' symmetric distances.
+    The nearest two clusters merge (the earliest of equally near ones); the older one stands first."""
+    d = np.asarray(distance, float)
+    clusters = [[i] for i in range(len(names))]
+    while len(clusters) > 1:
+        gaps = [(d[np.ix_(clusters[i], clusters[j])].mean(), i, j) for j in range(len(clusters)) for i in range(j)]
+        _, i, j = min(gaps)
+        merged = clusters[i] + clusters[j]
+        clusters = [x for k, x in enumerate(clusters) if k not in (i, j)] + [merged]
+    return [names[i] for i in (clusters[0] if clusters else [])]

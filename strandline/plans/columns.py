@@ -149,6 +149,23 @@ def p19_p21_matrix_encoding(spark, sf):
     return observations(spark, sf).select("row_id", *[F.element_at(row, f + 1).alias(f"P9_AF{f + 1}") for f in range(5)])
 
 
+_TABLES = {"sparse": S.one_hot_table(), "kidera": S.KIDERA, "atchley": S.ATCHLEY}
+_VALUES = ", ".join(f"('{e}', '{s}', [{', '.join(map(str, v))}]::DOUBLE[])" for e, t in _TABLES.items() for s, v in t.items())
+_WIDTHS = ", ".join(f"('{e}', {len(t['A'])})" for e, t in _TABLES.items())
+
+
+@query(f"""WITH {WIN}, v(encoding, aa, vec) AS (VALUES {_VALUES}), widths(encoding, width) AS (VALUES {_WIDTHS}), p AS (SELECT row_id, context, unnest(range(1, 20)) AS i FROM win),
+s AS (SELECT p.row_id, w.encoding, w.width, p.i, v.vec FROM p CROSS JOIN widths w LEFT JOIN v ON v.encoding = w.encoding AND v.aa = substr(p.context, p.i, 1))
+SELECT row_id, encoding, sum(width)::INT AS features, sum(coalesce(len(list_filter(vec, lambda x: x <> 0)), 0))::INT AS filled,
+  round(sum(coalesce(list_sum(list_transform(vec, lambda x, k: x * ((i - 1) * width + k))), 0)), 4) AS weighted FROM s GROUP BY 1, 2""")
+def p21_all_positions(spark, sf):
+    """Every position of the window in each encoding; an array of all features per row, digested."""
+    w = windows(spark, sf).select("row_id", F.split("context", "").alias("symbols"))
+    each = F.explode(F.create_map(*[x for name, t in _TABLES.items() for x in (F.lit(name), S.encode_all("symbols", t))])).alias("encoding", "v")
+    weighted = F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return w.select("row_id", each).select("row_id", "encoding", F.size("v").alias("features"), F.size(F.filter("v", lambda x: x != 0)).alias("filled"), F.round(weighted, 4).alias("weighted"))
+
+
 @query(f"WITH {WIN} SELECT row_id, " + ", ".join(f"round((length(context) - length(replace(context, '{a}', ''))) / 19.0::DOUBLE, 9) AS frac_{a}" for a in S.ALPHABET) + " FROM win")
 def p20_composition(spark, sf):
     return windows(spark, sf).select("row_id", *[F.round(S.fraction("context", a, 19), 9).alias(f"frac_{a}") for a in S.ALPHABET])

@@ -25,6 +25,14 @@ def m01_m02_m03_m04_nested_cv(spark, sf):
     return scored
 
 
+@query("""WITH n AS (SELECT DISTINCT unnest(['P' || (event_id % 12) || '_A', 'N' || (event_id % 5 + 1) || '_x_y', 'esmc_' || event_id % 9, event_type || '_PC' || event_id % 9, 'frac_' || event_type]) AS name FROM events)
+SELECT name, CASE WHEN regexp_matches(name, '^([NC][1-9][0-9]*|P[1-9])_[^_]*$') THEN 'aa_encoding' WHEN starts_with(name, 'esmc_') OR starts_with(name, 'esmif_') OR contains(name, 'PC') THEN 'embedding_pca' ELSE 'handcrafted' END AS kind FROM n""")
+def p27_feature_kinds(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.col("event_id").alias("i"))
+    names = F.expr("array(concat('P', i % 12, '_A'), concat('N', i % 5 + 1, '_x_y'), concat('esmc_', i % 9), concat(event_type, '_PC', i % 9), concat('frac_', event_type))")
+    return e.select(F.explode(names).alias("name")).distinct().select("name", M.classify_feature("name").alias("kind"))
+
+
 @query()
 def m05_forest_weights(spark, sf):
     """Mean importance of each column over the models of a run."""

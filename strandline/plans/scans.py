@@ -39,6 +39,27 @@ def s04_s05_binder_scan(spark, sf):
     return b.select(F.split_part("ID", F.lit("_"), F.lit(2)).cast("long").alias("doc_id"), "Pos", "Peptide", "Rank")
 
 
+@query(f"WITH {OBS} SELECT count(*) AS n FROM obs WHERE doc_id % 3 = 0")
+def s05_binder_count(spark, sf):
+    path = new_path(spark, "binders")
+    line = F.concat_ws("\t", "start", "peptide", F.concat(F.lit("sp_"), F.col("doc_id"), F.lit("_X")), "peptide", "peptide", F.lit("0.1"), F.format_string("%.3f", "rank"), F.lit("0.2"), (F.col("rank") < 0.5).cast("int"))
+    o = observations(spark, sf)
+    o.select(line.alias("value")).write.text(path)
+    wanted = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("uniprot_id"))
+    return readers.count_binders(spark, path, length=9, ids=wanted)
+
+
+@query("SELECT 'af_' || n_nationkey AS af_id, n_regionkey::INT AS chunk_idx, 2::INT AS places, round(n_nationkey + 0.5 + n_regionkey, 3)::DOUBLE AS total FROM nation")
+def s15_chunk_scores(spark, sf):
+    """Score files named by protein and chunk; those of a lower rank are no part of the result."""
+    path = new_path(spark, "scores")
+    n = table(spark, sf, "nation").withColumn("rank", F.explode(F.array(F.lit("001"), F.lit("002"))))
+    name = F.concat(F.lit("af_"), F.col("n_nationkey"), F.lit("_chunk_"), F.col("n_regionkey"), F.lit("_scores_rank_"), F.col("rank"), F.lit("_x.json"))
+    n.select(name.alias("name"), F.array(F.col("n_nationkey") + F.lit(0.5), F.col("n_regionkey").cast("double")).alias("plddt")).write.partitionBy("name").json(path)
+    got = readers.read_chunk_scores(spark, path)
+    return got.select("af_id", "chunk_idx", F.size("plddt").alias("places"), F.round(F.element_at("plddt", 1) + F.element_at("plddt", 2), 3).alias("total"))
+
+
 @query(f"WITH {OBS} SELECT row_id % 1000 AS pos, peptide, 'sp_P' || doc_id || '_S' AS identity, round(rank, 3) AS n1, 0.25::DOUBLE AS n2, CASE WHEN rank < 0.5 THEN 'SB' END AS level FROM obs")
 def s06_ragged_report(spark, sf):
     line = F.concat(F.lit("  "), (F.col("row_id") % 1000).cast("string"), F.lit("  HLA-A*02:01  "), F.col("peptide"), F.lit("   sp|P"), F.col("doc_id"), F.lit("|S  "), F.format_string("%.3f", "rank"), F.lit("  0.25"), F.when(F.col("rank") < 0.5, " <= SB").otherwise(""))

@@ -212,6 +212,54 @@ def x21_calibration(spark, sf):
     return X.calibration(scores(spark, sf), "pb", "y").select("bin", "n", F.round("mean_score", 9).alias("mean_score"), F.round("share", 9).alias("share"))
 
 
+@query(f"""WITH {_SCORES}, e AS (SELECT fold, pb AS v, sum(y) AS p, count(*) AS c FROM sc GROUP BY 1, 2), r AS (SELECT fold, v, sum(p) OVER w AS tp, sum(c) OVER w AS seen, sum(p) OVER (PARTITION BY fold) AS np FROM e WINDOW w AS (PARTITION BY fold ORDER BY v DESC))
+SELECT fold, round(v, 9) AS threshold, round(tp / seen::DOUBLE, 9) AS precision, round(tp / np::DOUBLE, 9) AS recall FROM r""")
+def x21_pr_curve(spark, sf):
+    return X.pr_curve(scores(spark, sf), "pb", "y", ["fold"]).select("fold", *[F.round(c, 9).alias(c) for c in ("threshold", "precision", "recall")])
+
+
+@query(f"WITH {_SCORES} SELECT y, least(49, floor(pa * 50))::INT AS bin, count(*) AS n FROM sc GROUP BY 1, 2")
+def x21_score_distribution(spark, sf):
+    return scores(spark, sf).groupBy("y", F.least(F.lit(49), F.floor(F.col("pa") * 50)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PROFILE = """, a AS (SELECT (doc_id % 6)::INT AS fold, i::INT - 1 AS pos, substr(peptide, i, 1) AS aa FROM (SELECT doc_id, peptide, unnest(range(1, 10)) AS i FROM obs)), k AS (SELECT fold, pos, aa, count(*) AS n FROM a GROUP BY 1, 2, 3),
+cells AS (SELECT DISTINCT fold, pos, chr((65 + c)::INT) AS aa FROM k, range(26) t(c)), n AS (SELECT fold, pos, aa, coalesce(n, 0) AS n FROM cells LEFT JOIN k USING (fold, pos, aa))"""
+
+
+def fold_profiles(spark, sf):
+    return X.profile_counts(observations(spark, sf).select((F.col("doc_id") % 6).cast("int").alias("fold"), "peptide"), "peptide", "fold")
+
+
+@query(f"""WITH {OBS}{_PROFILE}, t AS (SELECT *, sum(n) OVER (PARTITION BY fold, pos) AS r, sum(n) OVER (PARTITION BY pos, aa) AS an FROM n), u AS (SELECT *, sum(an) OVER (PARTITION BY fold, pos) AS ar FROM t),
+v AS (SELECT fold, pos, CASE WHEN n > 0 THEN n / r::DOUBLE * log2(n / r::DOUBLE) ELSE 0 END AS h, (n + 0.5::DOUBLE) / (r + 13) AS p, (an + 0.5::DOUBLE) / (ar + 13) AS q FROM u)
+SELECT fold, round(avg(h), 6) AS entropy, round(avg(kl), 6) AS kl FROM (SELECT fold, pos, -sum(h) AS h, sum(p * log2(p / q)) AS kl FROM v GROUP BY 1, 2) GROUP BY 1""")
+def x22_fold_divergence(spark, sf):
+    """Entropy and divergence by position with the survey's pseudocount, then their means."""
+    return X.profile_divergence(fold_profiles(spark, sf), "fold", _LETTERS).select("fold", F.round("entropy", 6).alias("entropy"), F.round("kl", 6).alias("kl"))
+
+
+@query(f"""WITH {OBS}{_PROFILE}, f AS (SELECT fold, pos, aa, n / sum(n) OVER (PARTITION BY fold, pos)::DOUBLE AS f FROM n)
+SELECT x.fold AS a, y.fold AS b, round(corr(x.f, y.f), 6) AS pcc FROM f x JOIN f y ON x.pos = y.pos AND x.aa = y.aa AND x.fold < y.fold GROUP BY 1, 2""")
+def x22_profile_correlation(spark, sf):
+    return X.profile_correlation(fold_profiles(spark, sf), "fold", 9 * len(_LETTERS)).select("a", "b", F.round("pcc", 6).alias("pcc"))
+
+
+@query()
+def g09_linkage_order(spark, sf):
+    """The folds in the order of an average-linkage tree on 1 - correlation of their profiles."""
+    import numpy as np
+
+    rows = X.profile_correlation(fold_profiles(spark, sf), "fold", 9 * len(_LETTERS)).collect()  # a row a pair of folds
+    folds = sorted({r[c] for r in rows for c in "ab"})
+    d = np.zeros((len(folds), len(folds)))
+    for r in rows:
+        i, j = folds.index(r["a"]), folds.index(r["b"])
+        d[i, j] = d[j, i] = max(0.0, 1 - r["pcc"])
+    return spark.createDataFrame(list(enumerate(X.linkage_order(folds, d))), "place int, fold int")
+
+
 @query(f"""WITH {OBS}, a AS (SELECT (doc_id % 6)::INT AS fold, substr(peptide, i, 1) AS aa FROM (SELECT doc_id, peptide, unnest(range(1, 10)) AS i FROM obs)), s AS (SELECT DISTINCT aa FROM a), f AS (SELECT DISTINCT fold FROM a),
 c AS (SELECT f.fold, s.aa, count(a.aa) + 1.0::DOUBLE AS n FROM f CROSS JOIN s LEFT JOIN a ON a.fold = f.fold AND a.aa = s.aa GROUP BY 1, 2), q AS (SELECT aa, sum(n) AS m FROM c GROUP BY 1),
 p AS (SELECT fold, aa, n / sum(n) OVER (PARTITION BY fold) AS p, m / sum(m) OVER (PARTITION BY fold) AS q FROM c JOIN q USING (aa)) SELECT fold, round(-sum(p * log2(p)), 6) AS entropy, round(sum(p * log2(p / q)), 6) AS kl FROM p GROUP BY 1""")
@@ -268,14 +316,19 @@ def x26_pearson(spark, sf):
     return table(spark, sf, "lineitem").agg(F.round(X.pearson("l_quantity", "l_extendedprice"), 6).alias("pearson"), F.round(X.pearson("l_discount", "l_tax"), 6).alias("pearson2"))
 
 
-@query()
-def x29_early_stop(spark, sf):
-    def run(pdf):
-        curve = pdf.sort_values("event_id")["value"].tolist()
-        best = X.early_stop(curve, 20)
-        return pd.DataFrame([{"event_type": pdf["event_type"].iloc[0], "best_round": best, "best": curve[best]}])
+def _stop_sql(name, sign, best):
+    return f"""SELECT user_id, '{name}' AS metric, coalesce(min(i) FILTER (WHERE i - best >= 5), max(i))::INT AS stop_round, coalesce(min(i) FILTER (WHERE i - best >= 5) - 5, max(best))::INT AS best_round FROM
+(SELECT user_id, i, max(CASE WHEN before IS NULL OR v {sign} before THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS best FROM
+(SELECT *, {best}(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)) GROUP BY 1"""
+
 
-    return table(spark, sf, "events").select("event_type", "event_id", "value").groupBy("event_type").applyInPandas(run, "event_type string, best_round int, best double")
+@query(f"""WITH r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL)
+{_stop_sql("auc", ">", "max")} UNION ALL {_stop_sql("loss", "<", "min")}""")
+def x29_early_stop(spark, sf):
+    """A curve a user, in both directions."""
+    e = table(spark, sf, "events")
+    run = lambda name, up: X.early_stop(e, "user_id", "event_id", "value", 5, up).withColumn("metric", F.lit(name))
+    return run("auc", True).union(run("loss", False)).select("user_id", "metric", "stop_round", "best_round")
 
 
 @query()

@@ -52,6 +52,24 @@ def read_binders(spark: SparkSession, path: str, binders_only: bool = True, leng
     return df.where("NB = 1") if binders_only else df
 
 
+def count_binders(spark: SparkSession, path: str, length: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Number of predictions of all files, binders or not, of a length and of the wanted
+    accessions (second part of the identity), one column ``uniprot_id`` in ``ids``."""
+    df = read_binders(spark, path, binders_only=False, length=length)
+    if ids is not None:
+        df = df.withColumn("uniprot_id", F.split_part("ID", F.lit("_"), F.lit(2))).join(ids.select("uniprot_id").distinct(), "uniprot_id", "left_semi")
+    return df.agg(F.count("*").alias("n"))
+
+
+def read_chunk_scores(spark: SparkSession, path: str) -> DataFrame:
+    """af_id, chunk_idx and plddt of score files of the best rank, by the files' (or their
+    folders') names; other files are left out."""
+    name = r"/(?:[^/=]+=)?(af_[0-9]+)_chunk_([0-9]+)_scores_rank_001_"
+    df = spark.read.schema("plddt array<double>").option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    keyed = df.select(F.nullif(F.regexp_extract("_file", name, 1), F.lit("")).alias("af_id"), F.regexp_extract("_file", name, 2).try_cast("int").alias("chunk_idx"), "plddt")
+    return keyed.where("af_id is not null")
+
+
 def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
     """Ragged report lines: those that start with a whole number, split at white space;
     the identity is the first token with an underscore, bar or accession, five numbers follow,

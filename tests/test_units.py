@@ -122,7 +122,6 @@ def test_small_distributions():
     a = np.random.default_rng(0).normal(size=(10, 3))
     turn = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]])
     assert X.kabsch_rmsd(a, a @ turn + 5) == pytest.approx(0, abs=1e-6)
-    assert X.early_stop([1, 2, 3, 2, 2, 2, 9], 3) == 2
 
 
 @pytest.mark.parametrize("d", range(1, 8))
@@ -278,7 +277,6 @@ def test_feature_sets():
         FeatureSet([Component("blosum45", "csv"), Component("blosum90", "csv")]).check()
     f = FeatureSet([Component("a", "csv", prefixes=["N1_"]), Component("h", "csv", columns=["z"])]).check()
     assert f.resolve(["id", "N1_A", "z", "y"], ["id"]) == ["N1_A", "z"]
-    assert [classify_feature(x) for x in ("N1_A", "mean_rsa_peptide", "pca_3", "frac_A")] == ["aa_encoding", "handcrafted", "embedding_pca", "aa_encoding"]
 
 
 def test_out_of_fold_guards(spark):
@@ -337,3 +335,37 @@ def test_windows_cut_in_the_row(spark):
     spots = spark.createDataFrame([(text, s, s + 8) for s in (1, 41, 81)], "sequence string, start int, stop int")
     want = R.add_flanks(spots, 5).withColumn("peptide", F.expr("substring(sequence, start, 9)")).select("start", "peptide", "context", "n_real", "c_real").collect()
     assert got == sorted(map(tuple, want))
+
+
+def test_feature_kinds(spark):
+    names = ["N1_A", "P9_AF1", "P10_A", "N1_a_b", "esmc_PC3", "x_PC1", "frac_A", "mean_rsa_peptide"]
+    got = [one(spark, classify_feature(F.lit(n))) for n in names]
+    assert got == ["aa_encoding", "aa_encoding", "handcrafted", "handcrafted", "embedding_pca", "embedding_pca", "handcrafted", "handcrafted"]
+
+
+def test_early_stop(spark):
+    curves = {"a": [1, 2, 3, 2, 2, 2, 9], "b": [1.0, 2, 3], "c": [5.0], "d": [3, 3, 3, 3, 3], "e": [None, 2.0, 1.0]}
+    rows = [(k, i, None if v is None else float(v)) for k, c in curves.items() for i, v in enumerate(c)]
+    df = spark.createDataFrame(rows, "curve string, step int, v double")
+    up = {r["curve"]: (r["stop_round"], r["best_round"]) for r in X.early_stop(df, "curve", "step", "v", 3).collect()}
+    assert up == {"a": (6, 3), "b": (3, 3), "c": (1, 1), "d": (4, 1), "e": (2, 1)}
+    down = {r["curve"]: (r["stop_round"], r["best_round"]) for r in X.early_stop(df, "curve", "step", "v", 3, False).collect()}
+    assert down == {"a": (4, 1), "b": (3, 1), "c": (1, 1), "d": (4, 1), "e": (2, 2)}
+
+
+def test_linkage_order():
+    d = np.array([[0, 9, 1, 8], [9, 0, 7, 2], [1, 7, 0, 6], [8, 2, 6, 0]], float)
+    assert X.linkage_order(list("abcd"), d) == ["a", "c", "b", "d"]
+    assert X.linkage_order(["x"], np.zeros((1, 1))) == ["x"] and X.linkage_order([], np.zeros((0, 0))) == []
+
+
+def test_all_positions(spark):
+    got = one(spark, S.encode_all(F.split(F.lit("AZX"), ""), S.ATCHLEY))
+    assert got == [*S.ATCHLEY["A"], *[0.0] * 10] and len(S.KIDERA) == 20 and {len(v) for v in S.KIDERA.values()} == {10}
+    assert one(spark, S.encode_all(F.array(F.lit("C"), F.lit(None).cast("string")), S.one_hot_table())) == [0.0, 1.0, *[0.0] * 40]
+
+
+def test_precision_and_recall(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0), (None, 1)], "s double, y int")
+    got = sorted((r["threshold"], round(r["precision"], 6), r["recall"]) for r in X.pr_curve(df, "s", "y").collect())
+    assert got == [(0.1, 0.5, 1.0), (0.8, 0.666667, 1.0), (0.9, 1.0, 0.5)]
