@@ -159,10 +159,12 @@ def one_hot(symbol: Column | str, alphabet: str = ALPHABET) -> Column:
 
 
 def encode(symbol: Column | str, table: dict[str, tuple[float, ...]]) -> Column:
-    """The symbol's row of a matrix, zeros if null or unknown."""
-    width = len(next(iter(table.values())))
-    rows = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))])
-    return F.coalesce(F.try_element_at(rows, c(symbol)), F.array(*[F.lit(0.0)] * width))
+    """The row of a matrix for one symbol, zeros if null or unknown. Rows are found by the
+    symbol's place in the matrix, without a search of a map."""
+    width, names = len(next(iter(table.values()))), "".join(table)
+    rows = F.array(F.array(*[F.lit(0.0)] * width), *[F.array(*[F.lit(float(y)) for y in v]) for v in table.values()])
+    place = F.when(F.length(c(symbol)) == 1, F.instr(F.lit(names), c(symbol))).otherwise(0)
+    return F.element_at(rows, F.coalesce(place, F.lit(0)) + 1)
 
 
 def encode_all(symbols: Column | str, table: dict[str, tuple[float, ...]]) -> Column:
