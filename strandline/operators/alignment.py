@@ -16,6 +16,13 @@ def read_matrix(text: str) -> dict[tuple[str, str], float]:
     return {(row[0], n): float(v) for row in lines[1:] for n, v in zip(names, row[1:])}
 
 
+def matrix_rows(scores: dict[tuple[str, str], float], alphabet: str) -> dict[str, tuple[float, ...]]:
+    """A substitution matrix as the table of ``encode_all``; it has to be symmetric."""
+    if any(scores[a, b] != scores[b, a] for a in alphabet for b in alphabet):
+        raise ValueError("the matrix is not symmetric")
+    return {a: tuple(scores[a, b] for b in alphabet) for a in alphabet}
+
+
 def gotoh(a: str, b: str, score=None, opening: float = 10.0, extending: float = 0.5) -> tuple[float, str, str]:
     """Best global alignment: score and the two gapped strings. A gap of n symbols costs
     opening + (n - 1) * extending. ``score`` is a matrix; without it, 5 and -4."""

@@ -11,7 +11,7 @@ from strandline.operators import hamming as H
 from strandline.operators import rows as R
 from strandline.operators import sampling, structure, tensors
 from strandline.operators import statistics as X
-from strandline.operators.alignment import gotoh, read_matrix
+from strandline.operators.alignment import gotoh, matrix_rows, read_matrix
 from strandline.operators.curves import compare_rocs
 from strandline.operators.modelling import Component, FeatureSet, classify_feature, rebuild_out_of_fold
 
@@ -369,3 +369,10 @@ def test_precision_and_recall(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0), (None, 1)], "s double, y int")
     got = sorted((r["threshold"], round(r["precision"], 6), r["recall"]) for r in X.pr_curve(df, "s", "y").collect())
     assert got == [(0.1, 0.5, 1.0), (0.8, 0.666667, 1.0), (0.9, 1.0, 0.5)]
+
+
+def test_substitution_rows(spark):
+    table = matrix_rows(read_matrix("# made up\n   A  C  X\nA  4 -1  0\nC -1  9 -2\nX  0 -2 -1\n"), "ACX")
+    assert one(spark, S.encode_all(F.split(F.lit("CZX"), ""), table)) == [-1.0, 9.0, -2.0, 0.0, 0.0, 0.0, 0.0, -2.0, -1.0]
+    with pytest.raises(ValueError):
+        matrix_rows(read_matrix("   A  C\nA  4 -1\nC  0  9\n"), "AC")
