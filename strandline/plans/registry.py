@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_windows"](spark, sf_dir)
 
 
-from strandline.plans import aggregates, columns, graphs, joins, models, ordered, scans, tables, tests  # noqa: E402, F401
+from strandline.plans import aggregates, columns, graphs, joins, models, ordered, prepared, scans, tables, tests  # noqa: E402, F401
