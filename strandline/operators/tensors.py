@@ -120,16 +120,45 @@ def zero_norm(vector: Column | str) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) == 0
 
 
-def principal_components(df: DataFrame, column: str, k: int, fit_where: Column | None = None, out: str = "pca") -> DataFrame:
-    """Components fitted on the selected rows, all rows transformed, centred."""
+class Components:
+    """A fitted centring and rotation; called on rows it adds their components."""
+
+    def __init__(self, column: str, centre, pca):
+        self.column, self.centre, self.pca = column, centre, pca
+
+    @property
+    def mean(self) -> list[float]:
+        return [float(x) for x in self.centre.mean]
+
+    @property
+    def axes(self) -> list[list[float]]:
+        """One list of weights a component."""
+        return self.pca.pc.toArray().T.tolist()
+
+    def __call__(self, df: DataFrame, out: str = "pca") -> DataFrame:
+        """Null vectors have null components."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        filled = F.coalesce(F.col(self.column).cast("array<double>"), F.array_repeat(F.lit(0.0), len(self.mean)))
+        done = self.pca.transform(self.centre.transform(df.withColumn("_v", array_to_vector(filled))))
+        return done.withColumn(out, F.when(F.col(self.column).isNotNull(), vector_to_array("_p"))).drop("_v", "_c", "_p")
+
+
+def fit_components(rows: DataFrame, column: str, k: int) -> Components:
+    """The leading ``k`` components of the rows with a vector; the driver holds the covariance."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = rows.where(F.col(column).isNotNull()).select(array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
+    if vectors.isEmpty():
+        raise ValueError("no rows to fit components on")
+    centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(vectors)
+    return Components(column, centre, PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(vectors)))
 
-    rows = df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
-    fit_rows = rows.where(fit_where) if fit_where is not None else rows
-    centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(fit_rows)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(fit_rows))
-    return model.transform(centre.transform(rows)).withColumn(out, vector_to_array("_p")).drop("_v", "_c", "_p")
+
+def principal_components(df: DataFrame, column: str, k: int, fit_where: Column | None = None, out: str = "pca") -> DataFrame:
+    """Components fitted on the selected rows, all rows transformed, centred."""
+    return fit_components(df.where(fit_where) if fit_where is not None else df, column, k)(df, out)
 
 
 def spectrum(df: DataFrame, column: str, dims: int) -> list[float]:

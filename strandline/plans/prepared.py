@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandline.operators import reduction
 from strandline.plans.registry import query
 from strandline.plans.tables import tensor
 from strandline.sources import prepared
@@ -55,3 +56,34 @@ def t10_zero_vectors(spark, sf):
     t = tensor(spark, sf)
     head = F.when(F.col("row_id") % 4 == 0, F.transform(F.element_at("window", 1), lambda x: x * 0)).otherwise(F.element_at("window", 1))
     return prepared.zero_vectors(t.select(head.alias("head"), F.element_at("window", 8).alias("tail")), ["head", "tail"])
+
+
+_CUT = """x AS (SELECT vec_id AS row_id, i // 8 AS slot, i % 8 AS dim, (i // 8) < vec_id % 5 AS pad, embedding[i + 1]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)),
+v AS (SELECT row_id, dim, var_pop(value) AS v FROM x WHERE NOT pad AND row_id % 3 <> 0 GROUP BY 1, 2 HAVING count(*) > 1),
+top AS (SELECT dim FROM v GROUP BY 1 ORDER BY avg(v) DESC, dim LIMIT 3)"""
+
+
+@query(f"WITH {_CUT} SELECT row_id, 'emb_pos' || lpad(slot::VARCHAR, 2, '0') || '_dim' || lpad(dim::VARCHAR, 3, '0') AS feature, round(value, 6) AS value FROM x WHERE dim IN (SELECT dim FROM top)")
+def m09_fold_variance(spark, sf):
+    """The three dimensions of the greatest variance in the training rows, of every slot, by name."""
+    r = reduction.fit(tensor(spark, sf), F.col("row_id") % 3 != 0, "varfold", "emb", top_n=3)
+    names = F.array(*map(F.lit, r.names))
+    each = F.explode(F.arrays_zip(names.alias("f"), F.col("features").alias("v"))).alias("z")
+    return r.transform(tensor(spark, sf)).select("row_id", each).select("row_id", F.col("z.f").alias("feature"), F.round("z.v", 6).alias("value"))
+
+
+@query()
+def m09_reductions(spark, sf):
+    """Every reduction fitted on the same training rows: number of features and the sum of squares of
+    the other rows' features."""
+    t = tensor(spark, sf).withColumns({"label": (F.col("label") < 5).cast("int"), "fold": (F.col("row_id") % 6).cast("int")})
+    train = F.col("row_id") % 3 != 0
+    settings = {"flat": {"components": 10}, "flat_raw": {}, "vardims": {"dims": [1, 4, 6]}, "dimselect": {"top_n": 3}, "varfold": {"top_n": 3}, "autoencoder": {"latent": 4}, "pool": {"method": "mean_std"}}
+    out = None
+    for mode, options in settings.items():
+        r = reduction.fit(t, train, mode, "emb", **options)
+        squares = F.aggregate(F.transform("features", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+        one = r.transform(t.where(~train)).agg(F.max(F.size("features")).alias("features"), F.round(F.sum(squares), 4).alias("squares"))
+        one = one.select(F.lit(mode).alias("mode"), F.lit(len(r.names)).alias("names"), "features", "squares")
+        out = one if out is None else out.unionByName(one)
+    return out
