@@ -66,8 +66,8 @@ def classify_feature(name: str | Column) -> Column:
 
 
 MODELS = {
-    "lr": lambda **o: LogisticRegression(maxIter=50, **{"regParam": 0.01, **o}),
-    "en": lambda **o: LogisticRegression(maxIter=50, **{"regParam": 0.01, "elasticNetParam": 0.5, **o}),
+    "lr": lambda **o: LogisticRegression(maxIter=50, standardization=False, **o),
+    "en": lambda **o: LogisticRegression(maxIter=50, standardization=False, **{"elasticNetParam": 0.5, **o}),
     "rf": lambda **o: RandomForestClassifier(**{"numTrees": 50, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "seed": 42, **o}),
     "gbt": lambda **o: GBTClassifier(**{"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42, **o}),
 }
@@ -86,10 +86,15 @@ def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def fit_model(train: DataFrame, columns: Sequence[str], label: str = "label", kind: str = "lr", **options) -> PipelineModel:
-    """Imputation, standardisation and a class-weighted model as one saved pipeline."""
+    """Imputation, standardisation and a class-weighted model as one saved pipeline.
+    Logistic models take ``C`` (default 1), the weight of the summed loss against the penalty: a
+    ``regParam`` of 1 / (C n), as MLlib averages the loss."""
     fill = medians(train, columns)
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     total, classes = sum(counts.values()), max(1, len(counts))
+    if kind in ("lr", "en"):
+        strength = options.pop("C", 1.0)
+        options.setdefault("regParam", 1.0 / (strength * max(1, total)))
     weight = " ".join(f"WHEN {k} THEN {total / (classes * n)!r}" for k, n in counts.items()) or "WHEN 1 THEN 1.0"
     parts = ", ".join(f"coalesce(CASE WHEN NOT isnan(cast(`{c}` AS double)) AND abs(`{c}`) < double('Infinity') THEN cast(`{c}` AS double) END, {fill[c]!r}D) AS `{c}__f`" for c in columns)
     prepare = SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from strandline.operators import modelling as M
 from strandline.plans.base import table
 from strandline.plans.registry import query
-from strandline.storage import table_of
+from strandline.sources import runs
+from strandline.sources.readers import read_runs
+from strandline.storage import new_path, table_of
 
 FOLDS = (0, 1, 2)
 COLUMNS = [f"e{i}" for i in range(6)]
@@ -52,4 +54,23 @@ def m06_m10_external_scores(spark, sf):
 @query()
 def m08_m11_matrix(spark, sf):
     sets = {"first": COLUMNS[:2], "all": M.FeatureSet([M.Component("e", "csv", prefixes=["e"])]).check().resolve(COLUMNS)}
-    return M.run_matrix(samples(spark, sf), sets, ["lr"], FOLDS[:2] + FOLDS[2:])
+    return M.run_matrix(samples(spark, sf), sets, ["lr", "en"], FOLDS)
+
+
+@query()
+def k06_k07_run_artefacts(spark, sf):
+    """A run saved and read again: its document as a run reader sees it, beside the rows that the loaded
+    models of a fold score as the saved predictions say."""
+    path = new_path(spark, "run")
+    df = samples(spark, sf)
+    scored, models = M.nested_cv(df, COLUMNS, FOLDS)
+    runs.save_run(path, "20240102_030405", "lr", "e", models, COLUMNS, scored, df)
+    _, names, loaded, kept = runs.load_run(spark, path)
+    again = None
+    for outer in FOLDS:
+        ours = [m for (o, _), m in loaded.items() if o == outer]
+        one = M.score_external(ours, df.where(F.col("fold") == outer), names).select("row_id", F.col("prob").alias("again"))
+        again = one if again is None else again.unionByName(one)
+    same = kept.join(again, "row_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prob") - F.col("again")) < 1e-12).alias("same"))
+    auc = F.col("cv_summary")["roc_auc"]["mean"]
+    return read_runs(spark, f"{path}/results").select("model_key", "features_key", F.round(auc, 6).alias("auc_mean")).join(F.broadcast(same))  # one row each
