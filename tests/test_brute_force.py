@@ -87,6 +87,18 @@ def test_best_match(spark):
         assert got[i] == pytest.approx(max((6 - ham(x, y)) / 6 for y in b))
 
 
+@pytest.mark.parametrize("few", [0, 20, 1 << 18])
+def test_most_equal(spark, few):
+    rng = np.random.default_rng(5)
+    a, b = (["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 9, p=p)) for _ in range(n)] for n, p in ((300, np.r_[0.3, np.full(25, 0.028)]), (400, np.r_[np.full(25, 0.028), 0.3])))
+    a += b[:9]
+    left, right = spark.createDataFrame([*enumerate(a), (999, None)], "row_id long, s string"), spark.createDataFrame([(x,) for x in [*b, *b, None]], "s string")
+    got = {r.row_id: r.best for r in similarity.most_equal(left, right, "s", 9, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "row_id", few).collect()}
+    assert got == {r.row_id: r.best for r in similarity.best_match(left, right, "s", 9).collect()}
+    assert got == {**{i: max((9 - ham(x, y)) / 9 for y in b) for i, x in enumerate(a)}, 999: None}
+    assert similarity.most_equal(left, right.limit(0), "s", 9, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "row_id", few).collect() == []
+
+
 def test_numbers_and_batches(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     out = order.batched(order.numbered(df, ["k"], "n", start=5), ["n"], 300).collect()
